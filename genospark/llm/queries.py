@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from genospark.llm import bpe_codec, token_counts
+from genospark.llm import bpe_codec, line_dedup, sharding, token_counts, warc_archive
+from genospark.llm.storage import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,5 +30,24 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_digests(docs, vocabulary(bpe_codec.VOCABULARY)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_token_counts": op1_token_counts, "op9_bpe_codec": op9_bpe_codec}
-ORACLES: dict[str, str] = {}
+def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scratch = Scratch(spark, "shards")
+    placed = sharding.shard_by_bytes(docs, 40, store=f"{scratch.root}/map")
+    return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "virtual_slot")
+
+
+def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads, payloads = warc_archive.write_archive(table(spark, sf_dir, "pages"), Scratch(spark, "warc"))
+    return warc_archive.read_archive(heads, payloads)
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_dedup.remove_boilerplate(docs).select("doc_id", "text", "n_lines", "n_removed")
+
+
+_OWN = (op1_token_counts, op2_virtual_slots, op6_warc_archive, op9_bpe_codec, op10_line_dedup)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OWN}
+#: Where SQL can express an operator: DuckDB's form of the same rows.
+ORACLES: dict[str, str] = {"op10_line_dedup": line_dedup.oracle()}
