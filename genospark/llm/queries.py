@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from genospark.llm import bpe_codec, line_dedup, sharding, token_counts, warc_archive
+from genospark.llm import bpe_codec, language_id, line_dedup, sharding, token_counts, warc_archive
 from genospark.llm.storage import Scratch
 
 
@@ -37,6 +37,13 @@ def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "virtual_slot")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.learn_from_documents(docs)
+    marked = docs.select("doc_id", "text", language_id.held_out().alias("held_out"))
+    return language_id.predict(marked, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads, payloads = warc_archive.write_archive(table(spark, sf_dir, "pages"), Scratch(spark, "warc"))
     return warc_archive.read_archive(heads, payloads)
@@ -47,7 +54,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_boilerplate(docs).select("doc_id", "text", "n_lines", "n_removed")
 
 
-_OWN = (op1_token_counts, op2_virtual_slots, op6_warc_archive, op9_bpe_codec, op10_line_dedup)
+_OWN = (op1_token_counts, op2_virtual_slots, op3_language_id, op6_warc_archive, op9_bpe_codec, op10_line_dedup)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OWN}
 #: Where SQL can express an operator: DuckDB's form of the same rows.
 ORACLES: dict[str, str] = {"op10_line_dedup": line_dedup.oracle()}
