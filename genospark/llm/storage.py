@@ -23,10 +23,22 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Rows and bytes of a batch that goes to a Python worker; the first is Spark's own default, which very long texts would overfill.
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": (None, "64m")}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep batches of long texts small, unless the session has settings of its own."""
+    for key, (default, ours) in _BATCHES.items():
+        if default is None or spark.conf.get(key, default) == default:
+            spark.conf.set(key, ours)
+
+
 class Scratch:
     """Parquet tables of one operator run. ``drop`` removes a table that no later result reads."""
 
     def __init__(self, spark: SparkSession, name: str):
+        bound_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
