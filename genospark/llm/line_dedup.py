@@ -85,7 +85,8 @@ def remove_boilerplate(docs: DataFrame, sites: int = SITES, doc_id: str = "doc_i
     affected = scratch.save(affected.withColumnRenamed("doc_id", "__id"), "affected")
     scratch.drop("often", "judged", "lines", "boilerplate")
     base = docs.drop(*[c for c in ("n_lines", "n_removed") if c in docs.columns])
-    joined = base.join(affected, base[doc_id].eqNullSafe(affected["__id"]), "left")
+    # one join strategy at every size: affected documents grow with the corpus
+    joined = base.join(affected.hint("merge"), base[doc_id].eqNullSafe(affected["__id"]), "left")
     bad = lambda line: F.array_contains("__bad", F.struct(*line_key(line)))
     kept = F.filter(split_lines(F.col(text)), lambda line: (F.btrim(line, F.lit(" \t\r")) == "") | ~bad(line))
     kept = F.when(F.col("__bad").isNull(), split_lines(F.col(text))).otherwise(kept)
