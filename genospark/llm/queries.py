@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from genospark.llm import bpe_codec, decontamination, language_id, line_dedup, setsketch_dedup, sharding, token_counts, warc_archive
+from genospark.llm import bpe_codec, decontamination, embedding_dedup, language_id, line_dedup, setsketch_dedup, sharding, token_counts, warc_archive
 from genospark.llm.storage import Scratch
 
 
@@ -52,6 +52,10 @@ def op4_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads, payloads = warc_archive.write_archive(table(spark, sf_dir, "pages"), Scratch(spark, "warc"))
     return warc_archive.read_archive(heads, payloads)
@@ -62,7 +66,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_boilerplate(docs).select("doc_id", "text", "n_lines", "n_removed")
 
 
-_OWN = (op1_token_counts, op2_virtual_slots, op3_language_id, op4_setsketch, op6_warc_archive, op8_decontamination, op9_bpe_codec, op10_line_dedup)
+_OWN = (op1_token_counts, op2_virtual_slots, op3_language_id, op4_setsketch, op5_projection_forest, op6_warc_archive, op8_decontamination, op9_bpe_codec, op10_line_dedup)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OWN}
 #: Where SQL can express an operator: DuckDB's form of the same rows.
 ORACLES: dict[str, str] = {"op10_line_dedup": line_dedup.oracle()}
