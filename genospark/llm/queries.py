@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from genospark.llm import bpe_codec, decontamination, embedding_dedup, language_id, line_dedup, setsketch_dedup, sharding, token_counts, warc_archive
+from genospark.llm import bpe_codec, decontamination, embedding_dedup, language_id, line_dedup, setsketch_dedup, sharding, suffix_dedup, token_counts, warc_archive
 from genospark.llm.storage import Scratch
 
 
@@ -25,6 +25,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, vocabulary(token_counts.VOCABULARY)).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -66,7 +70,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_boilerplate(docs).select("doc_id", "text", "n_lines", "n_removed")
 
 
-_OWN = (op1_token_counts, op2_virtual_slots, op3_language_id, op4_setsketch, op5_projection_forest, op6_warc_archive, op8_decontamination, op9_bpe_codec, op10_line_dedup)
+_OWN = (op1_token_counts, op2_virtual_slots, op3_language_id, op4_setsketch, op5_projection_forest, op6_warc_archive, op7_suffix_array, op8_decontamination, op9_bpe_codec, op10_line_dedup)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OWN}
 #: Where SQL can express an operator: DuckDB's form of the same rows.
 ORACLES: dict[str, str] = {"op10_line_dedup": line_dedup.oracle()}
