@@ -13,6 +13,7 @@ import sys
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
@@ -81,8 +82,12 @@ class BpeCodec:
             out += [part] if part in self.model.special else self.words(self.normalise(part))
         return out
 
+    def packed(self, text: str | None) -> bytes:
+        """The identifiers as little-endian unsigned 32-bit integers."""
+        return b"".join([self.memo[word][1] for word in self.split(text or "")])
+
     def encode(self, text: str | None) -> list[int]:
-        return [i for word in self.split(text or "") for i in array.array("I", self.memo[word][1])]
+        return np.frombuffer(self.packed(text), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The tokens of ``ids`` joined by blanks: the vocabulary names no decoder, so this is its decoded form. Unknown ids give nothing."""
@@ -108,7 +113,7 @@ def encoded(text: Column | str, path: str) -> Column:
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = codec(path)
         for texts in batches:
-            yield pd.Series([own.encode(t) for t in texts], dtype=object)
+            yield pd.Series([np.frombuffer(own.packed(t), "<i4") for t in texts], dtype=object)
             own.memo.trim()
 
     return ids(text)
