@@ -148,6 +148,27 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return pairs.join(other, "b").join(one, "a").select("a", "b", "ta", "tb").mapInPandas(compare, "a long, b long")
 
 
+def _shared_sizes(texts: DataFrame, across: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
+    """(id, n, o): of the documents in ``across``, the size of the set and how many of its shingles another of them has.
+
+    A document whose o is below ``percent`` of n can reach the threshold with none of them and is left out.
+    """
+
+    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingles(t, size) for t in batch["text"]]
+            ids = np.repeat(batch["id"].to_numpy(), [len(s) for s in sets])
+            yield pd.DataFrame({"id": ids, "s": np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)})
+
+    chosen = across.select("id").distinct()
+    of_shingle = texts.join(chosen, "id", "left_semi").mapInPandas(explode, "id long, s long").groupBy("s").agg(F.min("id").alias("id"), F.count("*").alias("c"))
+    alone = of_shingle.where("c = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    sized = reps.join(chosen, "id", "left_semi").groupBy("id").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("texts"))
+    # an id with several texts keeps the bound that holds for each of them
+    bound = F.when(F.col("texts") > 1, F.col("most")).otherwise(F.col("n") - F.coalesce("alone", F.lit(0)))
+    return sized.join(alone, "id", "left").select("id", "n", bound.alias("o")).where(100 * F.col("o") >= percent * F.col("n"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
@@ -183,15 +204,19 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 4, doc_id: s
     joined = components(links, scratch, "first")
     joined = scratch.save(joined.select(F.col("id").alias("i"), "component"), "joined")
 
-    # what the leaders leave apart within a bucket is compared across the components; the largest one needs no row of its own
-    placed = members.join(joined, F.col("id") == F.col("i"), "left").select("key", "id", F.coalesce("component", "id").alias("part"))
-    placed = scratch.save(placed, "placed")
-    parts = placed.groupBy("key", "part").agg(F.count("*").alias("size"))
-    mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("part", F.struct("size", "part")).alias("main")).where("parts > 1")
-    mixed = scratch.save(placed.join(scratch.save(mixed.select("key", "main"), "mixed"), "key"), "across")
-    minor = mixed.where("part <> main").select("key", F.col("id").alias("a"), F.col("part").alias("pa"))
-    other = mixed.select("key", F.col("id").alias("b"), F.col("part").alias("pb"), F.col("part").eqNullSafe(F.col("main")).alias("in_main"))
-    rest = minor.join(other, "key").where((F.col("pa") != F.col("pb")) & (F.col("in_main") | (F.col("a") < F.col("b"))))
+    # what the leaders leave apart is compared across the components of each leader's company; the largest one needs no row of its own
+    company = members.join(leaders, "key").select("lead", "id").distinct()
+    placed = scratch.save(company.join(joined, F.col("id") == F.col("i"), "left").select("lead", "id", F.coalesce("component", "id").alias("part")), "placed")
+    parts = placed.groupBy("lead", "part").agg(F.count("*").alias("size"))
+    mixed = parts.groupBy("lead").agg(F.count("*").alias("parts"), F.max_by("part", F.struct("size", "part")).alias("main")).where("parts > 1")
+    across = scratch.save(placed.join(scratch.save(mixed.select("lead", "main"), "mixed"), "lead"), "across")
+    # no pair shares more than each side's shingles that any other of these documents has: the bound goes into the join itself
+    shared = scratch.save(_shared_sizes(texts, across, reps, size, percent), "shared")
+    sized = scratch.save(across.join(shared, "id"), "sized")
+    minor = sized.where("part <> main").select("lead", F.col("id").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"), F.col("o").alias("oa"))
+    other = sized.select("lead", F.col("id").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"), F.col("o").alias("ob"), F.expr("part = main").alias("in_main"))
+    possible = (100 + percent) * F.least("oa", "ob") >= percent * (F.col("na") + F.col("nb"))
+    rest = minor.join(other, "lead").where((F.col("pa") != F.col("pb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & possible)
     rest = scratch.save(rest.select(*ordered).distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
     more = _confirmed(_likely(rest, reps, least), texts, size, percent)
     links = scratch.save(links.unionByName(more), "all_links")
@@ -199,7 +224,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 4, doc_id: s
 
     of_class = classes.select(F.col("digest").alias("d"), "rep").join(found, F.col("rep") == F.col("id"), "left").select("d", F.coalesce("component", "rep").alias("c"))
     of_class = scratch.save(of_class, "of_class")
-    scratch.drop("buckets", "members", "central", "leaders", "pairs", "texts", "placed", "mixed", "across", "rest", "links", "reps")
+    scratch.drop("buckets", "members", "central", "leaders", "pairs", "texts", "placed", "mixed", "across", "shared", "sized", "rest", "links", "reps")
     rows = sketches.select("id", "n", "digest").join(of_class, F.col("digest") == F.col("d"), "left")
     component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("c", "id"))
     return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
