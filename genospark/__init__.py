@@ -1,0 +1 @@
+"""Short-read sequencing analytics on Spark DataFrames."""
