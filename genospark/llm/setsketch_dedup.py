@@ -25,6 +25,7 @@ from genospark.llm.storage import Scratch
 ROWS, BANDS = 5, 32  # a pair at similarity 0.8 meets in no band with probability (1 - 0.8 ** 5) ** 32 = 3e-6
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2  # b, a and q of the sketch: two bytes a register
 SLACK = 0.18  # under the threshold, for the estimate: more than 5 standard errors of 160 registers
+BLOCK = 1_000_000  # shingles a side of a block
 _M = ROWS * BANDS
 _rng = np.random.default_rng(20_240_229)
 _XOR = _rng.integers(0, 2**64, _M, dtype=np.uint64)
@@ -148,25 +149,53 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return pairs.join(other, "b").join(one, "a").select("a", "b", "ta", "tb").mapInPandas(compare, "a long, b long")
 
 
-def _shared_sizes(texts: DataFrame, across: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
-    """(id, n, o): of the documents in ``across``, the size of the set and how many of its shingles another of them has.
+def _across_components(across: DataFrame, reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between different parts within each leader's company: (a, b).
 
-    A document whose o is below ``percent`` of n can reach the threshold with none of them and is left out.
+    ``across`` has lead, id, part and main. Documents outside the main part meet all others in blocks of about BLOCK shingles a side, so
+    a task's work is bounded and no row is made for a pair; of a document's links to one part, one is returned, which joins the parts.
     """
 
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [shingles(t, size) for t in batch["text"]]
-            ids = np.repeat(batch["id"].to_numpy(), [len(s) for s in sets])
-            yield pd.DataFrame({"id": ids, "s": np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)})
-
-    chosen = across.select("id").distinct()
-    of_shingle = texts.join(chosen, "id", "left_semi").mapInPandas(explode, "id long, s long").groupBy("s").agg(F.min("id").alias("id"), F.count("*").alias("c"))
-    alone = of_shingle.where("c = 1").groupBy("id").agg(F.count("*").alias("alone"))
-    sized = reps.join(chosen, "id", "left_semi").groupBy("id").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("texts"))
-    # an id with several texts keeps the bound that holds for each of them
-    bound = F.when(F.col("texts") > 1, F.col("most")).otherwise(F.col("n") - F.coalesce("alone", F.lit(0)))
-    return sized.join(alone, "id", "left").select("id", "n", bound.alias("o")).where(100 * F.col("o") >= percent * F.col("n"))
+            yield pd.DataFrame({"i": batch["id"], "items": [shingles(t, size).tobytes() for t in batch["text"]]})
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        minor, other = rows[rows["minor"]], rows[~rows["minor"]]
+        right = [np.frombuffer(b, np.uint64) for b in other["items"]]
+        lengths = np.array([len(r) for r in right], np.int64)
+        tokens = np.concatenate([*right, np.zeros(0, np.uint64)])
+        owner = np.repeat(np.arange(len(right)), lengths)
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        ids, parts = other["id"].to_numpy(), other["part"].to_numpy()
+        out = []
+        for i, part, items in zip(minor["id"], minor["part"], minor["items"]):
+            left = np.frombuffer(items, np.uint64)
+            low, high = np.searchsorted(tokens, left, "left"), np.searchsorted(tokens, left, "right")
+            many = high - low
+            flat = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+            both = np.bincount(owner[flat], minlength=len(right))
+            hit = np.flatnonzero((100 * both >= percent * (len(left) + lengths - both)) & (parts != part) & (both > 0))
+            _, first = np.unique(parts[hit], return_index=True)
+            out += [(i, b) for b in ids[hit[first]]]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    sized = across.join(reps.groupBy("id").agg(F.max("n").alias("n")), "id")
+    is_minor = F.col("part") != F.col("main")
+    blocks = lambda total: F.ceil(F.coalesce(total, F.lit(0)) / BLOCK).cast("int")
+    totals = sized.groupBy("lead").agg(blocks(F.sum(F.when(is_minor, F.col("n")))).alias("gm"), blocks(F.sum("n")).alias("go"))
+    dealt = sized.join(totals, "lead")
+    sides = []
+    for minor, own, others in ((True, "gm", "go"), (False, "go", "gm")):
+        side = dealt.where(is_minor) if minor else dealt
+        block = F.pmod(F.xxhash64("id", F.lit(minor)), F.col(own)).cast("int").alias("bi" if minor else "bj")
+        each = F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias("bj" if minor else "bi")
+        sides.append(side.select("lead", "id", "part", F.lit(minor).alias("minor"), block, each))
+    wanted = across.select("id").distinct()
+    sets = texts.join(wanted, "id", "left_semi").mapInPandas(sets_of, "i long, items binary")
+    rows = sides[0].unionByName(sides[1]).join(sets, F.col("id") == F.col("i"))
+    return rows.select("lead", "bi", "bj", "id", "part", "minor", "items").groupBy("lead", "bi", "bj").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -210,21 +239,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 4, doc_id: s
     parts = placed.groupBy("lead", "part").agg(F.count("*").alias("size"))
     mixed = parts.groupBy("lead").agg(F.count("*").alias("parts"), F.max_by("part", F.struct("size", "part")).alias("main")).where("parts > 1")
     across = scratch.save(placed.join(scratch.save(mixed.select("lead", "main"), "mixed"), "lead"), "across")
-    # no pair shares more than each side's shingles that any other of these documents has: the bound goes into the join itself
-    shared = scratch.save(_shared_sizes(texts, across, reps, size, percent), "shared")
-    sized = scratch.save(across.join(shared, "id"), "sized")
-    minor = sized.where("part <> main").select("lead", F.col("id").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"), F.col("o").alias("oa"))
-    other = sized.select("lead", F.col("id").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"), F.col("o").alias("ob"), F.expr("part = main").alias("in_main"))
-    possible = (100 + percent) * F.least("oa", "ob") >= percent * (F.col("na") + F.col("nb"))
-    rest = minor.join(other, "lead").where((F.col("pa") != F.col("pb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & possible)
-    rest = scratch.save(rest.select(*ordered).distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
-    more = _confirmed(_likely(rest, reps, least), texts, size, percent)
+    more = _across_components(across, reps, texts, size, percent)
     links = scratch.save(links.unionByName(more), "all_links")
     found = components(links, scratch, "last")
 
     of_class = classes.select(F.col("digest").alias("d"), "rep").join(found, F.col("rep") == F.col("id"), "left").select("d", F.coalesce("component", "rep").alias("c"))
     of_class = scratch.save(of_class, "of_class")
-    scratch.drop("buckets", "members", "central", "leaders", "pairs", "texts", "placed", "mixed", "across", "shared", "sized", "rest", "links", "reps")
+    scratch.drop("buckets", "members", "central", "leaders", "pairs", "texts", "placed", "mixed", "across", "links", "reps")
     rows = sketches.select("id", "n", "digest").join(of_class, F.col("digest") == F.col("d"), "left")
     component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("c", "id"))
     return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
