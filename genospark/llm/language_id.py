@@ -195,7 +195,7 @@ class Labeller:
         out = []
         paths = self.paths(texts)
         scores, letters = np.array(self.scores, dtype=np.float64).reshape(len(self.scores), len(self.model.languages)), np.array(self.letters, dtype=np.float64)
-        behind = np.maximum(scores - scores.max(axis=1, keepdims=True), -30.0) if len(scores) else scores  # no single word decides alone
+        behind = np.maximum(scores - scores.max(axis=1, keepdims=True), -30.0) if scores.size else scores  # no single word decides alone
         for path, numbers in paths:
             if not len(path) or not names:
                 out.append((UNDETERMINED, 0.0))
