@@ -151,3 +151,39 @@ def sam_lite() -> Column:
     isize = F.coalesce(F.col("isize"), F.lit(0))
     fields = [F.col("qname"), text("flag"), (F.col("tid") + 1).cast("string"), text("pos"), text("mapq"), F.col("cigar"), (F.col("mtid") + 1).cast("string"), text("mpos"), isize.cast("string"), F.col("seq"), F.lit("*")]
     return F.concat_ws("\t", *fields)
+
+
+def built(name: Column, seq: Column, cigar: Column, chrom: Column, pos1: Column, pos2: Column, strand: Column) -> Column:
+    """A record made by hand, as struct<qname, flag, tid, pos, mapq, cigar, seq, l_qseq>: mapped at pos1, mapq 60, reverse if '-'.
+
+    An unknown operation, a CIGAR that does not use the bases of the sequence, or one that does not span the closed region is an error.
+    """
+    bad = (
+        F.when(~C.valid(cigar), "not a CIGAR").when(C.query_consumed(cigar) != F.length(seq), "the CIGAR does not fit the sequence")
+        .when(C.reference_consumed(cigar) != pos2 - pos1 + 1, "the CIGAR does not fit the region")
+    )
+    checked = F.when(bad.isNotNull(), F.raise_error(bad)).otherwise(name)
+    fields = {"qname": checked, "flag": F.when(strand == "-", REVERSE).otherwise(0).cast("int"), "tid": chrom, "pos": pos1, "mapq": F.lit(60), "cigar": cigar, "seq": F.regexp_replace(seq, "[^ACGT]", "N"), "l_qseq": F.length(seq)}
+    return F.struct(*[c.alias(n) for n, c in fields.items()])
+
+
+def is_missing() -> Column:
+    """Whether a row holds no record."""
+    return F.col("qname").isNull()
+
+
+def position_key(mate: bool = False) -> Column:
+    """What records are compared and sorted by: (tid, pos), or the mate's."""
+    return F.struct("mtid", "mpos") if mate else F.struct("tid", "pos")
+
+
+def cleared() -> dict[str, Column]:
+    """Columns for ``withColumns`` that empty sequence, qualities and tags."""
+    tags = F.lit(None).cast("map<string,struct<type:string,value:string>>")
+    return {"seq": F.lit(None).cast("string"), "qual": F.lit(None).cast("string"), "tags": tags}
+
+
+def with_qualities(qual: Column) -> Column:
+    """The qualities, checked against the sequence's length; an empty string removes them."""
+    wrong = (qual != "") & (F.length(qual) != F.length("seq"))
+    return F.when(wrong, F.raise_error(F.lit("qualities do not fit the sequence")).cast("string")).when(qual != "", qual)

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from genospark.operators import dictionary as D
@@ -207,3 +207,35 @@ def index_dictionary(references: DataFrame) -> DataFrame:
     """The references in order of their names, as a dictionary."""
     rows = [(r["name"], r["n"]) for r in references.select("name", F.length("seq").alias("n")).collect()]
     return D.from_pairs(references.sparkSession, rows)
+
+
+def write_index(references: DataFrame, path: str, k: int = 15) -> None:
+    """The references and their seed index as tables below ``path``; an existing index is refused."""
+    references.select("name", "seq").write.mode("errorifexists").parquet(f"{path}/references")
+    seed_index(references, k).write.mode("errorifexists").parquet(f"{path}/seeds")
+
+
+def load_index(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """(references, seeds) of a stored index."""
+    return spark.read.parquet(f"{path}/references"), spark.read.parquet(f"{path}/seeds")
+
+
+def smith_waterman(query: Column, target: Column, scoring: Scoring | None = None) -> Column:
+    """struct<score, pos, cigar, nm> of the local alignment of two string columns, clipped query ends as S; null strings give null."""
+    scoring = scoring or Scoring()
+
+    @F.pandas_udf("score int, pos int, cigar string, nm int")
+    def aligned(queries: pd.Series, targets: pd.Series) -> pd.DataFrame:
+        rows = []
+        for q, t in zip(queries, targets):
+            if q is None or t is None:
+                rows.append((None, None, None, None))
+                continue
+            score, q0, t0, _, cigar = local_alignment(q.upper(), t.upper(), scoring)
+            used = sum(int(n) for n, o in _operations(cigar) if o in "MI")
+            tail = len(q) - q0 - used
+            full = (f"{q0}S" if q0 else "") + cigar + (f"{tail}S" if tail and cigar else "")
+            rows.append((score, t0, full if cigar else "*", _edits(q.upper(), q0, t.upper(), t0, cigar)))
+        return pd.DataFrame(rows, columns=["score", "pos", "cigar", "nm"])
+
+    return aligned(query, target)

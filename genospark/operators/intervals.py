@@ -101,15 +101,33 @@ def count_contained(queries: DataFrame, subjects: DataFrame) -> DataFrame:
     return queries.select(F.col("id").alias("query_id")).join(counts, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+#: Positions to a block of a sweep: 32-bit coordinates make at most 2048 blocks a chromosome, so a table of blocks may be broadcast.
+SWEEP_BITS = 20
+
+
+def swept(events: DataFrame, *values: str) -> DataFrame:
+    """Running sums of ``values`` over events (chr, p, values), one row per (chr, p), with the position of the next event in ``q``.
+
+    Two levels, so no task holds a chromosome: sums within blocks of positions, on top of the totals of the blocks before.
+    """
+    summed = events.groupBy("chr", "p").agg(*[F.sum(v).alias(v) for v in values]).withColumn("block", F.shiftright(F.col("p"), SWEEP_BITS))
+    by_block = Window.partitionBy("chr").orderBy("block")
+    totals = summed.groupBy("chr", "block").agg(F.min("p").alias("first"), *[F.sum(v).alias(v) for v in values])
+    before = [F.coalesce(F.sum(v).over(by_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"before_{v}") for v in values]
+    totals = totals.select("chr", "block", F.lead("first").over(by_block).alias("next"), *before)
+    inside = Window.partitionBy("chr", "block").orderBy("p")
+    joined = summed.join(F.broadcast(totals), ["chr", "block"])
+    sums = [(F.col(f"before_{v}") + F.sum(v).over(inside)).alias(v) for v in values]
+    return joined.select("chr", "p", F.coalesce(F.lead("p").over(inside), F.col("next")).alias("q"), *sums)
+
+
 def difference(one: DataFrame, other: DataFrame) -> DataFrame:
     """The parts (chr, pos1, pos2) of the union of ``one`` that ``other`` does not cover."""
     starts = [df.select("chr", F.col("pos1").cast("long").alias("p"), F.lit(a).alias("a"), F.lit(b).alias("b")) for df, a, b in ((one, 1, 0), (other, 0, 1))]
     ends = [df.select("chr", (F.col("pos2").cast("long") + 1).alias("p"), F.lit(-a).alias("a"), F.lit(-b).alias("b")) for df, a, b in ((one, 1, 0), (other, 0, 1))]
-    events = functools.reduce(DataFrame.unionByName, starts + ends).groupBy("chr", "p").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    w = Window.partitionBy("chr").orderBy("p")
-    swept = events.select("chr", F.col("p"), F.sum("a").over(w).alias("a"), F.sum("b").over(w).alias("b"), (F.lead("p").over(w) - 1).alias("q"))
-    kept = swept.where("a > 0 and b = 0").select("chr", F.col("p").cast("int").alias("pos1"), F.col("q").cast("int").alias("pos2"))
-    return merged(kept, ["chr"], touching=True)
+    events = functools.reduce(DataFrame.unionByName, starts + ends)
+    kept = swept(events, "a", "b").where("a > 0 and b = 0").select("chr", F.col("p").cast("int").alias("pos1"), (F.col("q") - 1).cast("int").alias("pos2"))
+    return merged_at_scale(kept, touching=True)
 
 
 def merged(df: DataFrame, keys: list[str] | None = None, touching: bool = False) -> DataFrame:
@@ -122,13 +140,13 @@ def merged(df: DataFrame, keys: list[str] | None = None, touching: bool = False)
     return islands.groupBy(*keys, "island").agg(F.min("pos1").alias("pos1"), F.max("pos2").alias("pos2")).drop("island")
 
 
-def merged_at_scale(df: DataFrame, bits: int = 24) -> DataFrame:
+def merged_at_scale(df: DataFrame, bits: int = 24, touching: bool = False) -> DataFrame:
     """``merged`` by chromosome for tables too large for one task per chromosome: merged within blocks of 2 ** bits positions first.
 
     An interval is merged in the block where it starts; what is left, at most the islands of each block, is merged again by chromosome.
     """
     block = df.withColumn("block", F.shiftright(F.col("pos1"), bits))
-    return merged(merged(block, ["chr", "block"]).select("chr", "pos1", "pos2"), ["chr"])
+    return merged(merged(block, ["chr", "block"], touching).select("chr", "pos1", "pos2"), ["chr"], touching)
 
 
 def concatenated(*tables: DataFrame) -> DataFrame:
@@ -137,7 +155,7 @@ def concatenated(*tables: DataFrame) -> DataFrame:
 
 
 def union(*tables: DataFrame) -> DataFrame:
-    return merged(concatenated(*[t.select("chr", "pos1", "pos2") for t in tables]))
+    return merged_at_scale(concatenated(*[t.select("chr", "pos1", "pos2") for t in tables]))
 
 
 def total_width(df: DataFrame) -> DataFrame:
@@ -216,15 +234,15 @@ def genome_tiles(dictionary: DataFrame, width: int, overlap: int) -> DataFrame:
 def depth_runs(df: DataFrame, inclusive_end: bool = False, coalesce: bool = False) -> DataFrame:
     """Runs (chr, start, end, depth) of equal depth above 0, end exclusive, of half-open intervals chr, start, end.
 
-    An event sweep: never a row per position. ``inclusive_end`` counts the end position too. Events are first summed within blocks by
-    aggregation; ``coalesce`` joins adjacent runs of one depth, as bedgraph output asks for.
+    An event sweep: never a row per position. ``inclusive_end`` counts the end position too. ``coalesce`` joins adjacent runs of one
+    depth, as bedgraph output asks for.
     """
     end = F.col("end") + 1 if inclusive_end else F.col("end")
-    events = df.select("chr", F.col("start").alias("p"), F.lit(1).alias("v")).unionByName(df.select("chr", end.alias("p"), F.lit(-1).alias("v")))
-    summed = events.groupBy("chr", "p").agg(F.sum("v").alias("v")).where("v <> 0" if coalesce else "true")
-    w = Window.partitionBy("chr").orderBy("p")
-    swept = summed.select("chr", F.col("p").alias("start"), F.lead("p").over(w).alias("end"), F.sum("v").over(w).alias("depth"))
-    return swept.where("depth > 0").select("chr", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("depth").cast("long").alias("depth"))
+    events = df.select("chr", F.col("start").cast("long").alias("p"), F.lit(1).alias("v")).unionByName(df.select("chr", end.cast("long").alias("p"), F.lit(-1).alias("v")))
+    if coalesce:  # a position where as many begin as end is no border
+        events = events.groupBy("chr", "p").agg(F.sum("v").alias("v")).where("v <> 0")
+    runs = swept(events, "v").where("v > 0")
+    return runs.select("chr", F.col("p").cast("int").alias("start"), F.col("q").cast("int").alias("end"), F.col("v").cast("long").alias("depth"))
 
 
 def read_spans(reads: DataFrame, trim: int = 0, full_length: bool = False) -> DataFrame:
@@ -281,3 +299,18 @@ def scan_regions(reads: DataFrame, regions: DataFrame, distinct: bool = False) -
     spans = reads.withColumns({"__p1": F.col("pos"), "__p2": A.position_end()})
     found = pairs(spans, regions, ("tid", "__p1", "__p2")).select(F.col("s.id").alias("region_id"), "q.*").drop("__p1", "__p2")
     return found.drop("region_id").distinct() if distinct else found
+
+
+def sampled_by_regions(reads: DataFrame, fractions: DataFrame, seed: int = 999) -> DataFrame:
+    """A subsample by name whose rate depends on place: the largest ``frac`` of the regions a read overlaps, none elsewhere.
+
+    ``fractions`` has chr, pos1, pos2 and frac. The rate depends on the coordinates alone, so distinct ones are joined with the regions.
+    """
+    from genospark.functions import flags as A
+    from genospark.functions.hashing import keep_fraction
+
+    out = reads.withColumn("__e", A.position_end())
+    spans = out.select(F.col("tid").alias("chr"), F.col("pos").alias("pos1"), F.col("__e").alias("pos2")).distinct()
+    rates = pairs(spans, fractions).groupBy(F.col("q.chr").alias("__c"), F.col("q.pos1").alias("__s"), F.col("q.pos2").alias("__t")).agg(F.max("s.frac").alias("__f"))
+    rated = out.join(rates, (F.col("tid") == F.col("__c")) & (F.col("pos") == F.col("__s")) & (F.col("__e") == F.col("__t")))
+    return rated.where(keep_fraction(F.col("qname"), F.col("__f"), seed)).select(*reads.columns)

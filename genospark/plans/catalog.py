@@ -133,6 +133,19 @@ def sam_text(t: Fixtures) -> DataFrame:
     return t.reads.withColumn("isize", F.lit(0)).select("qname", A.sam_lite().alias("line"))
 
 
+@query("select concat('M', cast(item_id as varchar)) qname, cast(case when item_id % 2 = 0 then 16 else 0 end as int) flag, cast(0 as int) tid, cast(item_id as int) pos, cast(60 as int) mapq, concat(cast(length(text) as varchar), 'M') cigar, cast(length(text) as int) l_qseq from benchmark")
+def built_records(t: Fixtures) -> DataFrame:
+    """Records made by hand over passages as sequences."""
+    rows = t.table("benchmark").select(F.concat(F.lit("M"), F.col("item_id").cast("string")).alias("n"), "text", F.concat(F.length("text").cast("string"), F.lit("M")).alias("c"), F.col("item_id").cast("int").alias("p"), F.when(F.col("item_id") % 2 == 0, "-").otherwise("+").alias("s"))
+    made = A.built(F.col("n"), F.col("text"), F.col("c"), F.lit(0), F.col("p"), F.col("p") + F.length("text") - 1, F.col("s"))
+    return rows.select(made.alias("r")).select("r.*").drop("seq")
+
+
+@query("select qname, cast(null as varchar) seq, cast(null as varchar) qual, tid from reads")
+def cleared_records(t: Fixtures) -> DataFrame:
+    return t.reads.withColumns(A.cleared()).where(~A.is_missing()).select("qname", "seq", "qual", "tid")
+
+
 # --- bases, qualities, tags ---
 
 
@@ -354,6 +367,12 @@ def subsample_by_region(t: Fixtures) -> DataFrame:
 
 
 
+@query(f"select r.qname, r.pos, r.flag from (select *, {END} e from reads) r join (select distinct qname, k from w6) w on r.qname = w.qname where (w.k & 16777215) / 16777216.0 < (select max((g.id % 4) / 4.0) from regions g where g.chr = r.tid and r.pos <= g.pos2 and r.e >= g.pos1)", _HASH)
+def sample_by_regions(t: Fixtures) -> DataFrame:
+    fractions = t.regions.withColumn("frac", F.pmod("id", F.lit(4)) / 4.0)
+    return intervals.sampled_by_regions(t.reads, fractions).select("qname", "pos", "flag")
+
+
 @query(f"""select cast(-1 as int) "filter", cast(-1 as int) rule, count(*) filter (flag & 1536 = 0 and (mapq >= 30 or {_sum('SH')} >= 5)) passed from reads
   union all select 0, -1, count(*) filter (flag & 1536 = 0 and (mapq >= 30 or {_sum('SH')} >= 5)) from reads
   union all select 0, 0, count(*) filter (flag & 1536 = 0 and mapq >= 30) from reads union all select 0, 1, count(*) filter (flag & 1536 = 0 and {_sum('SH')} >= 5) from reads""")
@@ -649,6 +668,12 @@ def align_reads(t: Fixtures) -> DataFrame:
     return align.align_sequences(queries, _references(t)).select("qname", "flag", "tid", "pos", "mapq", "cigar", "score", "nm", "na")
 
 
+@query()
+def smith_waterman(t: Fixtures) -> DataFrame:
+    both = t.reads.where("flag & 255 = 3").select("qname", "seq", F.concat(F.lit("ACGTT"), F.substring("seq", 4, 24), F.lit("GGATC")).alias("target"))
+    return both.select("qname", align.smith_waterman(F.col("seq"), F.col("target")).alias("a")).select("qname", "a.*")
+
+
 @query()
 def seed_index(t: Fixtures) -> DataFrame:
     return align.seed_index(_references(t))

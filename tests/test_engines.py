@@ -70,3 +70,17 @@ def test_stream(spark, tmp_path):
     running = streams.event_counts(stream).writeStream.outputMode("append").format("memory").queryName("counted").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     running.awaitTermination(60)
     assert spark.sql("select event_type, n from counted").collect()[0]["event_type"] == "view"
+
+
+def test_smith_waterman_and_stored_index(spark, tmp_path):
+    target = bases(60, 3)
+    row = spark.createDataFrame([("GGGG" + target[10:40], target), (None, target)], "q string, t string")
+    got = row.select(align.smith_waterman(F.col("q"), F.col("t")).alias("a")).select("a.*").collect()
+    assert got[0]["cigar"].endswith("30M") and got[0]["nm"] == 0 and got[1]["cigar"] is None
+    references = spark.createDataFrame([("r", target)], "name string, seq string")
+    align.write_index(references, str(tmp_path / "index"))
+    again, seeds = align.load_index(spark, str(tmp_path / "index"))
+    assert again.first()["seq"] == target and seeds.count() == 46
+    with pytest.raises(Exception):
+        align.write_index(references, str(tmp_path / "index"))
+    assert align.index_dictionary(references).first()["length"] == 60

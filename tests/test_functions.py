@@ -116,3 +116,17 @@ def test_motifs():
     assert M.find("cat catalog", ["cat"], whole_words=True) == [(0, 3, "cat")]
     assert M.find("abcd", ["abc", "bcd", "d"], without_overlaps=True) == [(0, 3, "abc"), (3, 4, "d")]
     assert M.tokens("xaby", ["ab"]) == [("x", False), ("ab", True), ("y", False)]
+
+
+def test_built(spark):
+    def build(seq, pos1, pos2, cigar="10M1I10M1D10M10S"):
+        return value(spark, A.built(*map(F.lit, ("n", seq, cigar, 0, pos1, pos2, "-"))))
+
+    made = build("A" * 40 + "x", 100, 130)
+    assert (made["pos"], made["mapq"], made["flag"], made["seq"][-1]) == (100, 60, 16, "N")
+    for bad in (("A" * 42, 100, 130), ("A" * 41, 100, 131), ("A" * 41, 100, 130, "41Q")):
+        with pytest.raises(Exception, match="CIGAR"):
+            build(*bad)
+    assert value(spark, A.with_qualities(F.lit("")), seq="AC") is None
+    with pytest.raises(Exception, match="fit"):
+        value(spark, A.with_qualities(F.lit("I")), seq="AC")
