@@ -43,30 +43,70 @@ def letter_groups(word: str) -> Iterator[str]:
             yield padded[i : i + n]
 
 
+_CODE = 21  # bits of a code point
+
+
+def _packed(group: str) -> int:
+    """A letter group as one number: its code points, behind a 1 where they are fewer than three. A blank is the least of them, so groups
+    of different lengths never share a number."""
+    out = 1 if len(group) < 3 else 0
+    for letter in group:
+        out = out << _CODE | ord(letter)
+    return out
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
-    groups: dict[str, list[float]]  # letter group -> log-probability in each language
-    unseen: list[float]  # of a group that a language never showed
+    keys: np.ndarray  # letter groups as numbers, sorted
+    table: np.ndarray  # log-probability of each in each language; the last row is of a group never seen
     blocks: dict[int, int] = field(default_factory=dict)  # script block -> bit set of languages that use it
 
+    def score_many(self, found: list[str]) -> np.ndarray:
+        """A row for each word: mean log-probability of its letter groups times its length, per language; -1e3 outside the candidates.
+
+        The words stand between blanks in one array of code points; groups are looked up all together.
+        """
+        langs = len(self.languages)
+        if not found or not langs:
+            return np.zeros((len(found), langs))
+        pieces, owner = [], []
+        for n, word in enumerate(found):
+            for at in range(0, len(word), LONGEST):
+                pieces.append(word[at : at + LONGEST])
+                owner.append(n)
+        text = np.frombuffer((" " + " ".join(pieces) + " ").encode("utf-32-le"), np.uint32).astype(np.int64)
+        blank = text == 32
+        piece = np.cumsum(blank) - 1  # a blank belongs to the piece after it
+        at = np.flatnonzero(~blank)
+        ends = np.flatnonzero(blank)[1:]
+        two = 1 << 2 * _CODE
+        codes = np.concatenate([
+            1 << _CODE | text[at], two | text[at - 1] << _CODE | text[at], two | text[ends - 1] << _CODE | 32,
+            text[at - 1] << 2 * _CODE | text[at] << _CODE | text[at + 1],
+        ])
+        word = np.array(owner)[np.concatenate([piece[at], piece[at], piece[ends - 1], piece[at]])]
+        row = np.minimum(np.searchsorted(self.keys, codes), len(self.keys) - 1)
+        row = np.where(self.keys[row] == codes, row, len(self.keys))
+        size = np.array([min(len(w), LONGEST) for w in found]) / np.bincount(word, minlength=len(found))
+        out = np.stack([np.bincount(word, self.table[row, k], len(found)) for k in range(langs)], axis=1) * size[:, None]
+        bits = self._candidates(text[at] >> _BLOCK, np.array(owner)[piece[at]], len(found))
+        return np.where(bits[:, None] >> np.arange(langs) & 1, out, -1e3)
+
+    def _candidates(self, blocks: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
+        """The languages whose scripts cover each word, as bits; all, where no language covers all of it."""
+        every = (1 << len(self.languages)) - 1
+        known, place = np.unique(blocks, return_inverse=True)
+        bits = np.array([self.blocks.get(int(b), every) for b in known], np.int64)[place]
+        out = np.full(n, every, np.int64)
+        np.bitwise_and.at(out, word, bits)
+        return np.where(out == 0, every, out)
+
     def candidates(self, word: str) -> int:
-        """The languages whose scripts cover the word, as bits; all, where no language knows any of its blocks."""
-        every = bits = (1 << len(self.languages)) - 1
-        for block in {ord(c) >> _BLOCK for c in word}:
-            bits &= self.blocks.get(block, every)
-        return bits or every
+        return int(self._candidates(np.array([ord(c) >> _BLOCK for c in word], np.int64), np.zeros(len(word), np.int64), 1)[0])
 
     def score(self, word: str) -> tuple[float, ...]:
-        """Mean log-probability of the word's letter groups times its length, per language; -1e3 outside the candidates."""
-        total, n = [0.0] * len(self.languages), 0
-        for at in range(0, len(word), LONGEST):
-            for group in letter_groups(word[at : at + LONGEST]):
-                for k, p in enumerate(self.groups.get(group, self.unseen)):
-                    total[k] += p
-                n += 1
-        bits, scale = self.candidates(word), min(len(word), LONGEST) / n
-        return tuple(t * scale if bits >> k & 1 else -1e3 for k, t in enumerate(total))
+        return tuple(self.score_many([word])[0])
 
 
 def learn(docs: DataFrame, seed: str = "language") -> LanguageModel:
@@ -78,7 +118,7 @@ def learn(docs: DataFrame, seed: str = "language") -> LanguageModel:
     labelled = docs.where("lang is not null and text is not null and text <> ''")
     sizes = {r["lang"]: r for r in labelled.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("letters")).collect()}
     if not sizes:
-        return LanguageModel([], {}, [], {})
+        return fitted({})
     share = {k: min(1.0, SAMPLE_ROWS / r["n"], SAMPLE_LETTERS / r["letters"]) for k, r in sizes.items()}
     chance = F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1_000_000)) / 1e6
     limit = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
@@ -112,48 +152,49 @@ def learn(docs: DataFrame, seed: str = "language") -> LanguageModel:
 def fitted(rows: dict[str, list]) -> LanguageModel:
     """The model of counted letter groups: {language: [(group, count)]}."""
     languages = sorted(k for k, v in rows.items() if v)
-    unseen, groups, blocks = [], {}, {}
-    lengths = {k: [sum(n for g, n in rows[k] if len(g) == size) for size in (1, 2, 3)] for k in languages}
-    for k, lang in enumerate(languages):
-        unseen.append(math.log(0.5 / max(1, lengths[lang][2] + 1)))
+    total = {k: [sum(n for g, n in rows[k] if len(g) == size) for size in (1, 2, 3)] for k in languages}
+    unseen = [math.log(0.5 / (total[k][2] + 1)) for k in languages]
+    groups: dict[int, list[float]] = {}
+    blocks: dict[int, int] = {}
     for k, lang in enumerate(languages):
         for group, n in rows[lang]:
-            groups.setdefault(group, list(unseen))[k] = math.log(n / lengths[lang][len(group) - 1])
-            if len(group) == 1 and n >= 2e-5 * lengths[lang][0]:
+            groups.setdefault(_packed(group), list(unseen))[k] = math.log(n / total[lang][len(group) - 1])
+            if len(group) == 1 and n >= 2e-5 * total[lang][0]:
                 blocks[ord(group) >> _BLOCK] = blocks.get(ord(group) >> _BLOCK, 0) | 1 << k
-    return LanguageModel(languages, groups, unseen, blocks)
+    keys = np.array(sorted(groups), np.int64)
+    table = np.array([groups[g] for g in sorted(groups)] + [unseen], np.float64).reshape(len(keys) + 1, len(languages))
+    return LanguageModel(languages, keys, table, blocks)
 
 
 class Labeller:
     """Viterbi over the word scores of many texts at once, the texts side by side in arrays."""
 
-    def __init__(self, model: LanguageModel, most: int = 400_000):
+    def __init__(self, model: LanguageModel, most: int = 200_000):
         self.model, self.most = model, most
+        self._forget()
+
+    def _forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.scores: list[tuple[float, ...]] = []
-        self.letters: list[int] = []
+        self.scores, self.letters = np.zeros((0, len(self.model.languages))), np.zeros(0)
 
-    def _number(self, word: str) -> int:
-        found = self.index.get(word)
-        if found is None:
-            found = self.index[word] = len(self.scores)
-            self.scores.append(self.model.score(word))
-            self.letters.append(len(word))
-        return found
+    def _learn(self, fresh: list[str]) -> None:
+        self.index.update(zip(fresh, range(len(self.index), len(self.index) + len(fresh))))
+        for at in range(0, len(fresh), 20_000):
+            self.scores = np.concatenate([self.scores, self.model.score_many(fresh[at : at + 20_000])])
+        self.letters = np.concatenate([self.letters, [len(w) for w in fresh]])
 
     def paths(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text the best path: the language of each word, and the number (in this labeller) of each word."""
         if len(self.index) > self.most:
-            self.index, self.scores, self.letters = {}, [], []
-        known = self.index
-        numbers = []
-        for text in texts:
-            found = words(text) if text else []
-            try:
-                numbers.append(np.fromiter(map(known.__getitem__, found), np.int64, len(found)))
-            except KeyError:
-                numbers.append(np.fromiter(map(self._number, found), np.int64, len(found)))
-        scores, langs = np.array(self.scores, dtype=np.float64).reshape(len(self.scores), len(self.model.languages)), len(self.model.languages)
+            self._forget()
+        split = [words(text) if text else [] for text in texts]
+        fresh: set[str] = set()
+        for found in split:
+            fresh |= set(found).difference(self.index)
+        self._learn(sorted(fresh))
+        known = self.index.__getitem__
+        numbers = [np.fromiter(map(known, found), np.int64, len(found)) for found in split]
+        scores, langs = self.scores, len(self.model.languages)
         out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int8), n) for n in numbers]
         if not langs:
             return out
@@ -194,7 +235,7 @@ class Labeller:
         names = self.model.languages
         out = []
         paths = self.paths(texts)
-        scores, letters = np.array(self.scores, dtype=np.float64).reshape(len(self.scores), len(self.model.languages)), np.array(self.letters, dtype=np.float64)
+        scores, letters = self.scores, self.letters
         behind = np.maximum(scores - scores.max(axis=1, keepdims=True), -30.0) if scores.size else scores  # no single word decides alone
         for path, numbers in paths:
             if not len(path) or not names:
@@ -236,6 +277,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
             yield pd.DataFrame(labeller.label(list(texts)), columns=["lang_pred", "score"])
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    label = label.asNondeterministic()  # or a filter on the outcome would label every text twice
     found = docs.select(*kept, label(docs[text]).alias("__label"))
     return found.select(*kept, "__label.lang_pred", "__label.score")
 

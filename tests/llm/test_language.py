@@ -47,7 +47,23 @@ def test_spans_and_scripts():
     assert m.candidates("мир") == 1 << m.languages.index("ru")
     assert L.Labeller(m).label(["мир", None, "", "123 !", "kato kato"]) [0][0] == "ru"
     assert [x[0] for x in L.Labeller(m).label([None, "", "123 !"])] == ["und"] * 3
-    assert L.Labeller(L.LanguageModel([], {}, [], {})).label(["x"]) == [("und", 0.0)]
+    assert L.Labeller(L.fitted({})).label(["x"]) == [("und", 0.0)]
+
+
+def test_scores_of_many_words_are_those_of_one():
+    m = model()
+    found = ["kato", "shura", "мир", "x", "ka" * 50, "日本"]
+    together = m.score_many(found)
+    for word, row in zip(found, together):
+        pieces = [word[i : i + L.LONGEST] for i in range(0, len(word), L.LONGEST)]
+        groups = [g for p in pieces for g in L.letter_groups(p)]
+        for k in range(len(m.languages)):
+            if not m.candidates(word) >> k & 1:
+                assert row[k] == -1e3
+                continue
+            place = {int(key): n for n, key in enumerate(m.keys)}
+            wanted = sum(m.table[place.get(L._packed(g), len(m.keys)), k] for g in groups) / len(groups) * min(len(word), L.LONGEST)
+            assert abs(row[k] - wanted) < 1e-9
 
 
 def test_long_words_and_texts():
