@@ -83,6 +83,9 @@ def load(path: str) -> BpeModel:
     return BpeModel(path)
 
 
+IDLE = 100_000  # entries that a worker keeps between tasks
+
+
 class BoundedMemo(dict):
     """A memo of a function of words. Long words are computed anew; ``trim`` between batches empties a memo that has grown too large."""
 
@@ -96,6 +99,6 @@ class BoundedMemo(dict):
             self[word] = value
         return value
 
-    def trim(self) -> None:
-        if len(self) > self.most:
+    def trim(self, most: int | None = None) -> None:
+        if len(self) > (self.most if most is None else most):
             self.clear()

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genospark.llm.bpe import WHITE_SPACE, BoundedMemo, byte_letters, load
+from genospark.llm.bpe import IDLE, WHITE_SPACE, BoundedMemo, byte_letters, load
 
 VOCABULARY = "word_bpe_49k.json"
 #: Fixed value: what the vocabulary's own definition keeps of a normalised text; all else is dropped.
@@ -115,6 +115,7 @@ def encoded(text: Column | str, path: str) -> Column:
         for texts in batches:
             yield pd.Series([np.frombuffer(own.packed(t), "<i4") for t in texts], dtype=object)
             own.memo.trim()
+        own.memo.trim(IDLE)
 
     return ids(text)
 
@@ -144,7 +145,9 @@ def encode_digests(df: DataFrame, path: str, text: str = "text") -> DataFrame:
         for texts in batches:
             yield pd.DataFrame([own.digests(t) for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             own.memo.trim()
+        own.memo.trim(IDLE)
 
+    digests = digests.asNondeterministic()  # one evaluation for the three columns, whatever is asked of them
     names = ("n_tokens", "ids_sha256", "decoded_sha256")
     kept = [df[c] for c in df.columns if c not in names]
     return df.select(*kept, digests(df[text]).alias("__digests")).select(*[F.col(c) for c in df.columns if c not in names], *[F.col(f"__digests.{c}").alias(c) for c in names])

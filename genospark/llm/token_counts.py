@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genospark.llm.bpe import WHITE_SPACE, BoundedMemo, load
+from genospark.llm.bpe import IDLE, WHITE_SPACE, BoundedMemo, load
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Fixed value: the pattern that cuts text before merging, as byte-level vocabularies of this family define it.
@@ -64,6 +64,7 @@ def token_count(text: Column | str, path: str) -> Column:
         for texts in batches:
             yield pd.Series([counter.count(t) for t in texts], dtype="int64")
             counter.memo.trim()
+        counter.memo.trim(IDLE)
 
     return counted(text)
 
