@@ -25,7 +25,7 @@ from genospark.llm.storage import Scratch
 ROWS, BANDS = 5, 32  # a pair at similarity 0.8 meets in no band with probability (1 - 0.8 ** 5) ** 32 = 3e-6
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2  # b, a and q of the sketch: two bytes a register
 SLACK = 0.18  # under the threshold, for the estimate: more than 5 standard errors of 160 registers
-BLOCK = 1_000_000  # shingles a side of a block
+BLOCK = 250_000  # shingles a side of a block
 _M = ROWS * BANDS
 _rng = np.random.default_rng(20_240_229)
 _XOR = _rng.integers(0, 2**64, _M, dtype=np.uint64)
@@ -149,7 +149,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return pairs.join(other, "b").join(one, "a").select("a", "b", "ta", "tb").mapInPandas(compare, "a long, b long")
 
 
-def _across_components(across: DataFrame, reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _across_components(across: DataFrame, reps: DataFrame, texts: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame:
     """Links between different parts within each leader's company: (a, b).
 
     ``across`` has lead, id, part and main. Documents outside the main part meet all others in blocks of about BLOCK shingles a side, so
@@ -185,7 +185,7 @@ def _across_components(across: DataFrame, reps: DataFrame, texts: DataFrame, siz
     is_minor = F.col("part") != F.col("main")
     blocks = lambda total: F.ceil(F.coalesce(total, F.lit(0)) / BLOCK).cast("int")
     totals = sized.groupBy("lead").agg(blocks(F.sum(F.when(is_minor, F.col("n")))).alias("gm"), blocks(F.sum("n")).alias("go"))
-    dealt = sized.join(totals, "lead")
+    dealt = sized.join(scratch.save(totals, "totals"), "lead")  # both sides come from shuffles, so a large company's rows can be split
     sides = []
     for minor, own, others in ((True, "gm", "go"), (False, "go", "gm")):
         side = dealt.where(is_minor) if minor else dealt
@@ -239,13 +239,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 4, doc_id: s
     parts = placed.groupBy("lead", "part").agg(F.count("*").alias("size"))
     mixed = parts.groupBy("lead").agg(F.count("*").alias("parts"), F.max_by("part", F.struct("size", "part")).alias("main")).where("parts > 1")
     across = scratch.save(placed.join(scratch.save(mixed.select("lead", "main"), "mixed"), "lead"), "across")
-    more = _across_components(across, reps, texts, size, percent)
+    more = _across_components(across, reps, texts, scratch, size, percent)
     links = scratch.save(links.unionByName(more), "all_links")
     found = components(links, scratch, "last")
 
     of_class = classes.select(F.col("digest").alias("d"), "rep").join(found, F.col("rep") == F.col("id"), "left").select("d", F.coalesce("component", "rep").alias("c"))
     of_class = scratch.save(of_class, "of_class")
-    scratch.drop("buckets", "members", "central", "leaders", "pairs", "texts", "placed", "mixed", "across", "links", "reps")
+    scratch.drop("buckets", "members", "central", "leaders", "pairs", "texts", "placed", "mixed", "across", "totals", "links", "reps")
     rows = sketches.select("id", "n", "digest").join(of_class, F.col("digest") == F.col("d"), "left")
     component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("c", "id"))
     return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
