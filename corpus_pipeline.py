@@ -12,10 +12,16 @@ from genospark.shipping import ship
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; the others, without text or letters, go. A missing lang is filled with the prediction."""
+    """Documents whose language can be told; the others, without text or letters, go. A missing lang is filled with the prediction.
+
+    Without any labelled row to learn from, documents with letters stay as they are.
+    """
     ship(spark)
     bound_batches(spark)
-    told = language_id.predict(docs, language_id.learn_from_documents(docs)).where(F.col("lang_pred") != language_id.UNDETERMINED)
+    model = language_id.learn_from_documents(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    told = language_id.predict(docs, model).where(F.col("lang_pred") != language_id.UNDETERMINED)
     return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
