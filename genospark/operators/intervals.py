@@ -34,7 +34,8 @@ def pairs(queries: DataFrame, subjects: DataFrame, query_columns: tuple[str, str
     q, s = _prefixed(queries, "q", query_columns), _prefixed(subjects, "s", subject_columns)
     # a pair meets on the coarser of its two levels, so each side lists its own level and the coarser ones that the other side has
     q, s = q.withColumn("ql", _level(F.col("q2") - F.col("q1") + 1)), s.withColumn("sl", _level(F.col("s2") - F.col("s1") + 1))
-    present = [{r[0] for r in side.select(c).distinct().collect()} for side, c in ((q, "ql"), (s, "sl"))]
+    found = q.select(F.lit(0), F.col("ql").alias("l")).unionAll(s.select(F.lit(1), F.col("sl").alias("l"))).distinct().collect()  # at most 12 rows
+    present = [{level for side, level in found if side == n} for n in (0, 1)]
     both = []
     for mark, side, theirs in (("q", q, present[1]), ("s", s, present[0])):
         own = F.col(f"{mark}l")

@@ -9,10 +9,15 @@ from genospark.functions.sequence import reverse_complement
 
 
 def kmers(df: DataFrame, k: int, seq: str = "seq", canonical: bool = False) -> DataFrame:
-    """A row (kmer) per k-mer without N. Positions are exploded, so no array of k-mers is built."""
-    places = df.where(F.length(seq) >= k).select(F.col(seq).alias("seq"), F.explode(F.sequence(F.lit(1), F.length(seq) - k + 1)).alias("at"))
-    found = places.select(F.substring("seq", F.col("at"), F.lit(k)).alias("kmer")).where("instr(kmer, 'N') = 0")
-    return found.select(F.least("kmer", reverse_complement("kmer")).alias("kmer")) if canonical else found
+    """A row (kmer) per k-mer without N. Positions are exploded, so no array of k-mers is built.
+
+    ``canonical``: the smaller of a k-mer and its reverse complement, which is cut from the reverse complement of the whole sequence.
+    """
+    strands = [F.col(seq).alias("seq")] + ([reverse_complement(seq).alias("other")] if canonical else [])
+    places = df.where(F.length(seq) >= k).select(*strands).select("*", F.explode(F.sequence(F.lit(1), F.length("seq") - k + 1)).alias("at"))
+    kmer = F.substring("seq", F.col("at"), F.lit(k))
+    found = places.where(F.instr(kmer, "N") == 0)
+    return found.select((F.least(kmer, F.substring("other", F.length("seq") - k + 2 - F.col("at"), F.lit(k))) if canonical else kmer).alias("kmer"))
 
 
 def kmer_counts(df: DataFrame, k: int, seq: str = "seq", canonical: bool = False) -> DataFrame:
