@@ -26,12 +26,12 @@ UNDETERMINED = "und"
 SAMPLE_ROWS, SAMPLE_LETTERS, GROUPS = 2000, 2_000_000, 50_000
 SWITCH = 6.0  # natural-log penalty for a change of language between two words
 LONGEST = 40  # a longer word is scored piece by piece, each of this many letters
-_WORDS = regex.compile(r"[\p{L}\p{M}]+")
+_WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _BLOCK = 7  # 128 code points to a script block
 
 
 def words(text: str) -> list[str]:
-    """Lower-case runs of letters and marks."""
+    """Lower-case runs of letters, with the marks on them."""
     return _WORDS.findall(text.lower())
 
 

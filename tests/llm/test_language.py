@@ -46,7 +46,7 @@ def test_spans_and_scripts():
     assert text[spans[1][0] : spans[1][1]] == "Shura, shili rushi lirsh shura"
     assert m.candidates("мир") == 1 << m.languages.index("ru")
     assert L.Labeller(m).label(["мир", None, "", "123 !", "kato kato"]) [0][0] == "ru"
-    assert [x[0] for x in L.Labeller(m).label([None, "", "123 !"])] == ["und"] * 3
+    assert [x[0] for x in L.Labeller(m).label([None, "", "123 !", "\u0301 \u0302"])] == ["und"] * 4
     assert L.Labeller(L.fitted({})).label(["x"]) == [("und", 0.0)]
 
 
