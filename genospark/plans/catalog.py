@@ -448,6 +448,11 @@ def overlap_same_interval(t: Fixtures) -> DataFrame:
     return intervals.share_subject(some, some, t.regions)
 
 
+@query(f"select distinct a.id id_a, b.id id_b from regions a join (select q.id, s.id sid from regions q join regions s on {_HIT}) x on x.id = a.id join (select q.id, s.id sid from regions q join regions s on {_HIT}) y on x.sid = y.sid join regions b on y.id = b.id")
+def overlap_same_interval_all(t: Fixtures) -> DataFrame:
+    return intervals.share_subject(t.regions, t.regions, t.regions)
+
+
 _MERGED = "select chr, min(pos1) pos1, max(pos2) pos2 from (select *, sum(fresh) over (partition by {k} order by pos1, pos2 rows unbounded preceding) island from (select *, case when pm is null or pos1 > pm then 1 else 0 end fresh from (select *, max(pos2) over (partition by {k} order by pos1, pos2 rows between unbounded preceding and 1 preceding) pm from {t}))) group by {k}, island"
 
 
@@ -461,6 +466,11 @@ def intersection(t: Fixtures) -> DataFrame:
     return intervals.intersection(t.regions, t.regions.where("id % 5 = 0"))
 
 
+@query(f"select q.chr, {_TRIM} from regions q join regions s on {_HIT}")
+def intersection_all(t: Fixtures) -> DataFrame:
+    return intervals.intersection(t.regions, t.regions)
+
+
 @query("select q.id query_id, count(s.id) n from regions q left join spans s on q.chr = s.chr and s.pos1 >= q.pos1 and s.pos2 <= q.pos2 group by q.id", _SPANS)
 def count_contained(t: Fixtures) -> DataFrame:
     return intervals.count_contained(t.regions, _spans(t))
@@ -481,11 +491,21 @@ def region_semi_matelink(t: Fixtures) -> DataFrame:
     return intervals.overlapping_reads(t.reads, t.regions.where("id % 3 = 0"), mate_linked=True).select("qname", "flag", "pos")
 
 
+@query(f"select qname, flag, pos from reads r where exists (select 1 from regions g where g.chr = r.tid and r.pos <= g.pos2 and {END} >= g.pos1) or exists (select 1 from regions g where g.chr = r.mtid and r.mpos <= g.pos2 and r.mpos + r.l_qseq >= g.pos1)")
+def region_semi_matelink_all(t: Fixtures) -> DataFrame:
+    return intervals.overlapping_reads(t.reads, t.regions, mate_linked=True).select("qname", "flag", "pos")
+
+
 @query(f"select g.id region_id, qname, flag, pos from reads r join regions g on g.chr = r.tid and r.pos <= g.pos2 and {END} >= g.pos1 where g.id < 50")
 def multi_region_scan(t: Fixtures) -> DataFrame:
     return intervals.scan_regions(t.reads, t.regions.where("id < 50")).select("region_id", "qname", "flag", "pos")
 
 
+@query(f"select g.id region_id, qname, flag, pos from reads r join regions g on g.chr = r.tid and r.pos <= g.pos2 and {END} >= g.pos1")
+def multi_region_scan_all(t: Fixtures) -> DataFrame:
+    return intervals.scan_regions(t.reads, t.regions).select("region_id", "qname", "flag", "pos")
+
+
 # --- merge, depth, tiles ---
 
 
@@ -504,6 +524,12 @@ def concat_regions(t: Fixtures) -> DataFrame:
     return intervals.concatenated(t.regions.drop("strand"), t.regions.where("id < 0").drop("strand"))
 
 
+@query("select id, chr, pos1, pos2 from regions union all select null, chr, pos1, pos2 from spans", _SPANS)
+def concat_regions_all(t: Fixtures) -> DataFrame:
+    """The regions, and the reads' spans without an id."""
+    return intervals.concatenated(t.regions.drop("strand"), _spans(t).select("chr", "pos1", "pos2"))
+
+
 @query(_MERGED.format(k="chr", t="(select chr, pos1, pos2 from regions union all select chr, pos1, pos2 from spans)"), _SPANS)
 def interval_union(t: Fixtures) -> DataFrame:
     return intervals.union(t.regions, _spans(t))

@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -86,3 +87,16 @@ def test_share_subject_and_contained(spark):
     assert I.share_subject(a, b, subject).count() == 1
     assert [tuple(r) for r in I.contained(a, subject).collect()] == [(0, 1)]
     assert I.overlap_width(a, subject).first()["width"] == 4
+
+
+def test_queries_over_all_regions(spark):
+    from genospark.plans.catalog import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables here")
+    assert QUERIES["overlap_same_interval_all"](spark, folder).where("id_a % 7 <> 0").count() > 0
+    assert QUERIES["multi_region_scan_all"](spark, folder).where("region_id >= 50").count() > 0
+    assert QUERIES["concat_regions_all"](spark, folder).where("id is null").count() == 6000
+    for name in ("intersection", "region_semi_matelink"):
+        assert QUERIES[f"{name}_all"](spark, folder).count() > QUERIES[name](spark, folder).count()
