@@ -108,7 +108,8 @@ def assemble(reads: DataFrame, options: Options | None = None, group: str = "gro
 
 
 def graph_tables(assembled: DataFrame, overlap: int) -> tuple[DataFrame, DataFrame]:
-    """Segments and links of one group, as the GFA writer takes them."""
-    segments = assembled.select("id", F.col("id").cast("string").alias("name"), "seq", "reads", "depth")
-    links = assembled.select(F.col("id").alias("source"), F.explode("links").alias("l")).select("source", "l.target", "l.source_reverse", "l.target_reverse", F.lit(overlap).alias("overlap"))
-    return segments, links
+    """Segments and links of all groups, as the GFA writer takes them; ids count within a group, names (group:id) are of one graph."""
+    segments = assembled.select("id", "name", "seq", "reads", "depth")
+    links = assembled.select("group", F.col("id").alias("source"), F.explode("links").alias("l")).select("group", "source", "l.target", "l.source_reverse", "l.target_reverse", F.lit(overlap).alias("overlap"))
+    named = [F.concat_ws(":", "group", F.col(c).cast("string")).alias(f"{c}_name") for c in ("source", "target")]
+    return segments, links.select("*", *named)

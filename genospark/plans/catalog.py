@@ -680,17 +680,27 @@ def primary_secondary_rank(t: Fixtures) -> DataFrame:
 # --- sequence engines: rows only ---
 
 
+def _laid(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """name and seq of each ``key``: its sequences end to end, N read as A."""
+    sequences = F.transform(F.sort_array(F.collect_list(F.struct(order, "seq"))), lambda x: F.translate(x["seq"], "N", "A"))
+    return rows.groupBy(F.col(key).alias("name")).agg(F.array_join(sequences, "").alias("seq"))
+
+
+def _regional(t: Fixtures) -> DataFrame:
+    """All reads' sequences by region of 2 ** 12 positions."""
+    return _laid(t.reads.select(F.concat_ws(":", "tid", F.shiftright("pos", 12)).alias("region"), "qname", "seq"), "region", "qname")
+
+
 def _references(t: Fixtures) -> DataFrame:
-    """Four references made of the sequences of a few reads."""
-    rows = t.reads.where("flag & 15 = 3").select((F.pmod("pos", F.lit(4))).alias("k"), "qname", "seq").orderBy("k", "qname").limit(400)
-    joined = rows.groupBy("k").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("qname", "seq"))), lambda x: F.translate(x["seq"], "N", "A")), "").alias("seq"))
-    return joined.select(F.concat(F.lit("ref"), F.col("k").cast("string")).alias("name"), "seq")
+    """Four references: the read of least name in each 1,000 positions of chromosomes 0 to 3, so 128,000 bases at most at any scale."""
+    rows = t.reads.where("tid < 4").groupBy("tid", F.floor(F.col("pos") / 1000).alias("bin")).agg(F.min(F.struct("qname", "seq")).alias("r"))
+    return _laid(rows.select(F.concat(F.lit("ref"), F.col("tid").cast("string")).alias("ref"), "bin", "r.seq"), "ref", "bin").orderBy("name")
 
 
 @query()
 def align_reads(t: Fixtures) -> DataFrame:
-    queries = _references(t).select(F.explode(F.sequence(F.lit(1), F.length("seq") - 60, F.lit(40))).alias("at"), "name", "seq")
-    queries = queries.select(F.concat_ws(":", "name", F.col("at").cast("string")).alias("name"), F.substring("seq", F.col("at"), F.lit(60)).alias("seq"))
+    """All reads against the references, N read as A as there."""
+    queries = t.sequences.select("name", F.translate("seq", "N", "A").alias("seq"))
     return align.align_sequences(queries, _references(t)).select("qname", "flag", "tid", "pos", "mapq", "cigar", "score", "nm", "na")
 
 
@@ -702,17 +712,20 @@ def smith_waterman(t: Fixtures) -> DataFrame:
 
 @query()
 def seed_index(t: Fixtures) -> DataFrame:
-    return align.seed_index(_references(t))
+    return align.seed_index(_regional(t))
 
 
 def _shotgun(t: Fixtures) -> DataFrame:
-    starts = _references(t).select("name", "seq", F.explode(F.sequence(F.lit(1), F.length("seq") - 50, F.lit(7))).alias("at"))
+    """Fragments of 50 bases at every seventh base and at the end of each region's sequence, the region as their group."""
+    ends = F.array_union(F.sequence(F.lit(1), F.greatest(F.length("seq") - 49, F.lit(1)), F.lit(7)), F.array(F.greatest(F.length("seq") - 49, F.lit(1))))
+    starts = _regional(t).select("name", "seq", F.explode(ends).alias("at"))
     return starts.select(F.concat_ws(":", "name", F.col("at").cast("string")).alias("name"), F.substring("seq", F.col("at"), F.lit(50)).alias("seq"), F.lit(None).cast("string").alias("qual"), F.col("name").alias("group"))
 
 
 @query()
 def correct_reads(t: Fixtures) -> DataFrame:
-    reads = _shotgun(t)
+    """All reads; those of one name are copies, so each gets the changes of its name."""
+    reads = t.sequences
     return correct.correct(reads, correct.train(correct.checked(reads), 21, 2), 1).select("name", "seq")
 
 
@@ -723,8 +736,8 @@ def assemble_contigs(t: Fixtures) -> DataFrame:
 
 @query()
 def gfa_export(t: Fixtures) -> DataFrame:
-    one = assemble.assemble(_shotgun(t).where("group = 'ref0'"), assemble.Options(k=25))
-    return writers.gfa_lines(*assemble.graph_tables(one, 24))
+    """One graph of all groups."""
+    return writers.gfa_lines(*assemble.graph_tables(assemble.assemble(_shotgun(t), assemble.Options(k=25)), 24))
 
 
 @query()

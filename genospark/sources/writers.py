@@ -57,14 +57,16 @@ def write_indexed(reads: DataFrame, path: str, partitions: int | None = None) ->
 
 
 def gfa_lines(segments: DataFrame, links: DataFrame) -> DataFrame:
-    """GFA1 lines (kind, line): segments (id, name, seq, reads, depth) and links (source, target, reversed flags, overlap), each link once."""
+    """GFA1 lines (kind, line): segments (id, name, seq, reads, depth) and links (source, target, reversed flags, overlap,
+    and source_name and target_name where ids are not the names), each link once."""
     spark = segments.sparkSession
     head = spark.createDataFrame([(0, "H\tVN:Z:1.0")], "kind int, line string")
     text = lambda c: F.col(c).cast("string")
     s = segments.select(F.lit(1).alias("kind"), F.concat_ws("\t", F.lit("S"), "name", "seq", F.concat(F.lit("LN:i:"), F.length("seq").cast("string")), F.concat(F.lit("RC:i:"), text("reads")), F.concat(F.lit("PD:Z:"), text("depth"))).alias("line"))
     sign = lambda c: F.when(F.col(c), "-").otherwise("+")
     once = links.where("source < target")
-    link = once.select(F.lit(2).alias("kind"), F.concat_ws("\t", F.lit("L"), text("source"), sign("source_reverse"), text("target"), sign("target_reverse"), F.concat(text("overlap"), F.lit("M"))).alias("line"))
+    one, other = [f"{c}_name" if f"{c}_name" in links.columns else c for c in ("source", "target")]
+    link = once.select(F.lit(2).alias("kind"), F.concat_ws("\t", F.lit("L"), text(one), sign("source_reverse"), text(other), sign("target_reverse"), F.concat(text("overlap"), F.lit("M"))).alias("line"))
     return head.unionByName(s).unionByName(link)
 
 

@@ -84,3 +84,24 @@ def test_smith_waterman_and_stored_index(spark, tmp_path):
     with pytest.raises(Exception):
         align.write_index(references, str(tmp_path / "index"))
     assert align.index_dictionary(references).first()["length"] == 60
+
+
+def test_engine_queries_take_all_reads(spark):
+    import os
+
+    from genospark.plans.catalog import QUERIES
+    from genospark.plans.fixtures import Fixtures
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables here")
+    t = Fixtures(spark, folder)
+    names = sorted(r["name"] for r in t.sequences.select("name").collect())
+    assert sorted(r["name"] for r in QUERIES["correct_reads"](spark, folder).select("name").collect()) == names
+    places = t.reads.selectExpr("concat(tid, ':', shiftright(pos, 12)) g", "32 n").groupBy("g").agg(F.sum("n").alias("n")).collect()
+    assert QUERIES["seed_index"](spark, folder).count() == sum(r["n"] - 14 for r in places)
+    firsts = t.reads.where("tid < 4").selectExpr("tid", "floor(pos / 1000) b", "qname").groupBy("tid", "b").agg(F.min("qname").alias("q")).collect()
+    assert {r["q"] for r in firsts} <= {r["qname"] for r in QUERIES["align_reads"](spark, folder).select("qname").collect()}
+    contigs, lines = QUERIES["assemble_contigs"](spark, folder).collect(), QUERIES["gfa_export"](spark, folder).collect()
+    assert {r["group"] for r in contigs} == {r["g"] for r in places if r["n"] >= 64}  # the others have one fragment, so no k-mer twice
+    assert {r["line"].split("\t")[1] for r in lines if r["kind"] == 1} == {r["name"] for r in contigs}
