@@ -1,11 +1,13 @@
 """Seed-and-extend alignment of sequences to a small set of references.
 
-The index is a table of k-mers with their places; its size is checked before it is sent to the workers. A query's seeds vote for
-diagonals, the best ones are aligned with affine gaps, and hits are ranked and filtered as primary and secondary.
+The index is a table of k-mers with their places; its size is checked before it is sent to the workers. A query's seeds at all their
+places make exact matches, each of which is extended to both sides with affine gaps within the bandwidth unless too few seeds are in reach
+for a hit; hits are ranked and filtered as primary and secondary.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -107,6 +109,34 @@ def local_alignment(query: str, target: str, s: Scoring) -> tuple[int, int, int,
     return best, i, j, at[1], text
 
 
+def extended(query: str, target: str, s: Scoring) -> tuple[int, int, int, bool]:
+    """Best affine-gap alignment from the start of both: score, query bases, target bases, whether it has gaps. The end is free; paths stay
+    within the bandwidth of the first diagonal."""
+    low, n, m = -(10**9), len(query), min(len(target), len(query) + s.bandwidth)
+    first = s.gap_open + s.gap_extend
+    h = [0] + [-s.gap_open - s.gap_extend * j if j <= s.bandwidth else low for j in range(1, m + 1)]
+    e = [low] * (m + 1)
+    best, at = 0, (0, 0)
+    for i in range(1, n + 1):
+        left, right = max(1, i - s.bandwidth), min(m, i + s.bandwidth)
+        if left > right:
+            break
+        diagonal = h[left - 1]
+        h[left - 1] = -s.gap_open - s.gap_extend * i if left == 1 and i <= s.bandwidth else low
+        f, q = low, query[i - 1]
+        for j in range(left, right + 1):
+            up = e[j] = max(h[j] - first, e[j] - s.gap_extend)
+            f = max(h[j - 1] - first, f - s.gap_extend)
+            value = max(diagonal + (s.match if q == target[j - 1] and q != "N" else -s.mismatch), up, f)
+            diagonal, h[j] = h[j], value
+            if value > best:
+                best, at = value, (i, j)
+    # the same ends without a gap, if that is as good
+    i, j = at
+    plain = i == j and best == sum(s.match if a == b and a != "N" else -s.mismatch for a, b in zip(query[:i], target[:i]))
+    return best, i, j, not plain
+
+
 class Index:
     """k-mer places of named references."""
 
@@ -117,35 +147,70 @@ class Index:
             raise ValueError("the references are too large for one index")
         self.references, self.scoring = [(n, s.upper()) for n, s in references], scoring
         self.places: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        self.least: dict[int, int] = {}
         for r, (_, seq) in enumerate(self.references):
             for at in range(len(seq) - scoring.seed + 1):
                 self.places[seq[at : at + scoring.seed]].append((r, at))
 
-    def candidates(self, query: str, most: int = 16) -> list[tuple[int, int, int]]:
-        """(votes, reference, start) of the diagonals that most seeds share."""
-        votes: dict[tuple[int, int], int] = defaultdict(int)
-        for at in range(len(query) - self.scoring.seed + 1):
-            for r, place in self.places.get(query[at : at + self.scoring.seed], ())[:64]:
-                votes[r, (place - at) // 8] += 1
-        ranked = sorted(((n, r, d * 8) for (r, d), n in votes.items()), key=lambda v: (-v[0], v[1], v[2]))
-        return ranked[:most]
+    def candidates(self, query: str) -> list[tuple[int, int, int, int]]:
+        """(reference, start, query start, length) of all exact matches of a seed or more from which a hit could come."""
+        seed, reach = self.scoring.seed, self.scoring.bandwidth
+        seen: dict[int, dict[int, list[int]]] = {}  # reference -> diagonal -> query places of its seeds
+        for at in range(len(query) - seed + 1):
+            word = query[at : at + seed]
+            if "N" not in word:
+                for r, place in self.places.get(word, ()):
+                    seen.setdefault(r, {}).setdefault(place - at, []).append(at)
+        least, found = self._least_seeds(len(query)), []
+        for r, by_diagonal in seen.items():
+            diagonals, before = sorted(by_diagonal), [0]
+            for d in diagonals:
+                before.append(before[-1] + len(by_diagonal[d]))
+            for d in diagonals:
+                # from its seed a path goes ``reach`` diagonals at most to the left, and as many to the right
+                if before[bisect_right(diagonals, d + reach)] - before[bisect_left(diagonals, d - reach)] < least:
+                    continue
+                places = by_diagonal[d]
+                start = places[0]
+                for one, other in zip(places, [*places[1:], None]):
+                    if other != one + 1:
+                        found.append((r, start + d, start, one + seed - start))
+                        start = other
+        return found
+
+    def _threshold(self, length: int) -> int:
+        return min(self.scoring.min_score, self.scoring.match * length)
+
+    def _least_seeds(self, length: int) -> int:
+        """The fewest seeds that a hit can have. With e edits its matches are e + 1 runs, each ``seed`` - 1 bases longer than it has seeds at most."""
+        s = self.scoring
+        if length not in self.least:
+            edit = min(s.mismatch, s.gap_open + s.gap_extend)
+            most = lambda seeds: max(s.match * min(length, seeds + (s.seed - 1) * (e + 1)) - edit * e for e in range(length + 1))
+            self.least[length] = next((n for n in range(1, length + 1) if most(n) >= self._threshold(length)), 1)
+        return self.least[length]
 
     def align(self, query: str, hardclip: bool = False) -> list[tuple]:
         """Hits (score, reference, position, reverse, cigar, nm, stored sequence), best first, one per place."""
         found: dict[tuple, tuple] = {}
         s = self.scoring
         for reverse, seq in ((False, query.upper()), (True, reverse_complement(query.upper()))):
-            for _, r, start in self.candidates(seq):
+            for r, t0, q0, size in self.candidates(seq):
                 target = self.references[r][1]
-                low, high = max(0, start - 16), min(len(target), start + len(seq) + 24)
-                score, q0, t0, t1, cigar = local_alignment(seq, target[low:high], s)
-                used = sum(int(n) for n, o in _operations(cigar) if o in "MI")
-                if not cigar or score < min(s.min_score, s.match * len(seq)):
+                before, qn, tn, gaps = extended(seq[:q0][::-1], target[max(0, t0 - q0 - s.bandwidth) : t0][::-1], s)
+                after, qm, tm, more = extended(seq[q0 + size :], target[t0 + size : t0 + len(seq) - q0 + s.bandwidth], s)
+                score, q0, t0, q1, t1 = before + s.match * size + after, q0 - qn, t0 - tn, q0 + size + qm, t0 + size + tm
+                if score < self._threshold(len(seq)) or (r, t0, reverse) in found and found[r, t0, reverse][0] >= score:
                     continue
+                cigar = f"{q1 - q0}M"
+                if gaps or more:
+                    again, qa, ta, _, cigar = local_alignment(seq[q0:q1], target[t0:t1], s)
+                    score, q0, t0 = again, q0 + qa, t0 + ta
+                used = sum(int(n) for n, o in _operations(cigar) if o in "MI")
                 tail, clip = len(seq) - q0 - used, "H" if hardclip else "S"
                 full = (f"{q0}{clip}" if q0 else "") + cigar + (f"{tail}{clip}" if tail else "")
-                key = (r, low + t0, reverse)
-                hit = (score, r, low + t0, reverse, full, _edits(seq, q0, target, low + t0, cigar), seq[q0 : q0 + used] if hardclip else seq)
+                key = (r, t0, reverse)
+                hit = (score, r, t0, reverse, full, _edits(seq, q0, target, t0, cigar), seq[q0 : q0 + used] if hardclip else seq)
                 if key not in found or found[key][0] < score:
                     found[key] = hit
         return sorted(found.values(), key=lambda h: (-h[0], h[1], h[2], h[3]))

@@ -28,6 +28,26 @@ def test_alignment(spark):
     assert align.Scoring().scaled(2).mismatch == 8
 
 
+def test_alignment_of_repeats_and_long_gaps():
+    unit = bases(60, 1)
+    own = unit[:30] + ("A" if unit[30] != "A" else "C") + unit[31:]
+    hits = align.Index([("r", "".join(bases(200, 100 + i) + (own if i == 99 else unit) for i in range(100)))], align.Scoring()).align(own)
+    assert len(hits) == 100 and hits[0][:6] == (60, 0, 99 * 260 + 200, False, "60M", 0)
+    assert {(h[0], h[5]) for h in hits[1:]} == {(55, 1)}
+    genome = bases(600, 2)
+    hit = align.Index([("r", genome)], align.Scoring()).align(genome[100:160] + genome[200:280])[0]
+    assert (hit[0], hit[2], hit[5]) == (140 - 46, 100, 40) and hit[4].count("D") == 1
+    rng = random.Random(4)
+    for _ in range(20):
+        at = rng.randrange(500)
+        query = list(genome[at : at + 90])
+        for _ in range(rng.randrange(5)):
+            query[rng.randrange(len(query))] = rng.choice(["", "A", "CC", "N"])
+        query = "".join(query)
+        whole = align.local_alignment(query, genome, align.Scoring())[0]
+        assert [h[0] for h in align.Index([("r", genome)], align.Scoring()).align(query)[:1]] == [whole] * (whole >= 30)
+
+
 def test_correction_and_assembly(spark):
     genome = bases(600, 9)
     rows = [(f"r{i}", genome[i : i + 60]) for i in range(0, 540, 3)]
