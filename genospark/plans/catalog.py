@@ -671,6 +671,18 @@ def sort_by_mate(t: Fixtures) -> DataFrame:
     return t.reads.orderBy("mtid", "mpos", "qname", "cigar", "flag").limit(500).select("qname", "mtid", "mpos")
 
 
+@query("select qname, tid, pos from reads order by tid, pos, qname, cigar, flag")
+def sorted_by_position(t: Fixtures) -> DataFrame:
+    """The whole table in order."""
+    return t.reads.orderBy("tid", "pos", "qname", "cigar", "flag").select("qname", "tid", "pos")
+
+
+@query("select qname, mtid, mpos from reads order by mtid, mpos, qname, cigar, flag")
+def sorted_by_mate(t: Fixtures) -> DataFrame:
+    """The whole table in order."""
+    return t.reads.orderBy("mtid", "mpos", "qname", "cigar", "flag").select("qname", "mtid", "mpos")
+
+
 @query("select qname, tid, pos, mapq, cast(k as int) rank from (select *, row_number() over w - 1 k, first_value(mapq) over w f from (select concat('Q', cast(pos % 1000 as varchar)) qname, tid, pos, mapq, flag, cigar, seq from reads) window w as (partition by qname order by mapq desc, tid, pos, flag, cigar, seq)) where k <= 5 and (k = 0 or mapq >= 0.8 * f)")
 def primary_secondary_rank(t: Fixtures) -> DataFrame:
     hits = t.reads.select(F.concat(F.lit("Q"), F.pmod("pos", F.lit(1000)).cast("string")).alias("qname"), "tid", "pos", "mapq", "flag", "cigar", "seq")

@@ -125,3 +125,16 @@ def test_engine_queries_take_all_reads(spark):
     contigs, lines = QUERIES["assemble_contigs"](spark, folder).collect(), QUERIES["gfa_export"](spark, folder).collect()
     assert {r["group"] for r in contigs} == {r["g"] for r in places if r["n"] >= 64}  # the others have one fragment, so no k-mer twice
     assert {r["line"].split("\t")[1] for r in lines if r["kind"] == 1} == {r["name"] for r in contigs}
+
+
+def test_whole_table_in_order(spark):
+    import os
+
+    from genospark.plans.catalog import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables here")
+    for name, columns in (("sorted_by_position", ("tid", "pos", "qname")), ("sorted_by_mate", ("mtid", "mpos", "qname"))):
+        found = [tuple(r[c] for c in columns) for r in QUERIES[name](spark, folder).collect()]
+        assert len(found) == 6000 and found == sorted(found)
