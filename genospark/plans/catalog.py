@@ -347,6 +347,12 @@ def motif_documents(t: Fixtures) -> DataFrame:
     return t.table("documents").where(M.contains_motif(F.col("text"), words)).select("doc_id")
 
 
+@query("select doc_id from documents d where exists (select 1 from benchmark b where contains(d.text, b.text))")
+def motif_documents_whole(t: Fixtures) -> DataFrame:
+    words = [r[0] for r in t.table("benchmark").select("text").collect()]  # the benchmark is a dictionary by definition
+    return t.table("documents").where(M.contains_motif(F.col("text"), words)).select("doc_id")
+
+
 _XOR = "(({0} | {1}) - ({0} & {1}))"
 _HASH = ", ".join([
     "x31 as (select qname, pos, list_reduce(list_prepend(0::bigint, list_transform(string_split(qname, ''), lambda c: cast(ascii(c) as bigint))), lambda h, c: (h * 31 + c) & 4294967295) h from reads)",

@@ -130,3 +130,12 @@ def test_built(spark):
     assert value(spark, A.with_qualities(F.lit("")), seq="AC") is None
     with pytest.raises(Exception, match="fit"):
         value(spark, A.with_qualities(F.lit("I")), seq="AC")
+
+
+def test_motif_documents_need_whole_passages(spark, tmp_path):
+    from genospark.plans.catalog import QUERIES
+
+    passage = "the first letters of a passage are shared and the rest of it is not"
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, f"so {passage}."), (2, passage[:40])], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [r["doc_id"] for r in QUERIES["motif_documents_whole"](spark, str(tmp_path)).collect()] == [1]
