@@ -25,7 +25,7 @@ UNDETERMINED = "und"
 #: Bounds of what is learnt, all per language: labelled rows in the sample, letters read of the sample, letter groups kept.
 SAMPLE_ROWS, SAMPLE_LETTERS, GROUPS = 2000, 2_000_000, 50_000
 SWITCH = 6.0  # natural-log penalty for a change of language between two words
-LONGEST = 40  # a longer word is scored piece by piece, each of this many letters
+LONGEST = 40  # a longer word is learnt and scored piece by piece, each of this many letters
 _WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _BLOCK = 7  # 128 code points to a script block
 
@@ -133,8 +133,8 @@ def learn(docs: DataFrame, seed: str = "language") -> LanguageModel:
             for lang, counts in seen.items():
                 own = found[lang] = Counter()
                 for word, n in counts.items():
-                    if len(word) <= LONGEST:
-                        for group in letter_groups(word):
+                    for at in range(0, len(word), LONGEST):
+                        for group in letter_groups(word[at : at + LONGEST]):
                             own[group] += n
             yield pd.DataFrame([(k, g, n) for k, c in found.items() for g, n in c.items()], columns=["lang", "group", "n"])
 

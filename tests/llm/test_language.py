@@ -88,3 +88,13 @@ def test_frame(spark):
             assert r["lang_pred"] == r["lang"]
     empty = docs.limit(0)
     assert L.predict(empty, L.learn_from_documents(empty)).count() == 0
+
+
+def test_language_without_blanks(spark):
+    rng = random.Random(8)
+    unspaced = ["".join(rng.choice("日本語文字列漢") for _ in range(90)) for _ in range(20)]
+    rows = [(i, x, "zz", "s") for i, x in enumerate(unspaced)] + [(100 + i, " ".join(rng.choice(WORDS["aa"]) for _ in range(20)), "aa", "s") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    m = L.learn_from_documents(docs)
+    assert m.languages == ["aa", "zz"]
+    assert all(r["lang_pred"] == r["lang"] for r in L.predict(docs, m).collect())
