@@ -104,16 +104,16 @@ def _sketch_table(docs: DataFrame, size: int) -> DataFrame:
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for i, text in zip(batch["id"], batch["text"]):
+            for i, mark, text in zip(batch["id"], batch["mark"], batch["text"]):
                 items = shingles(text, size)
                 if not len(items):
-                    rows.append((i, 0, None, None, None))
+                    rows.append((i, mark, 0, None, None, None))
                     continue
                 own = registers(items)
-                rows.append((i, len(items), hashlib.blake2b(items.tobytes(), digest_size=16).digest(), own.tobytes(), band_keys(own)))
-            yield pd.DataFrame(rows, columns=["id", "n", "digest", "regs", "keys"]).astype({"id": "Int64"})
+                rows.append((i, mark, len(items), hashlib.blake2b(items.tobytes(), digest_size=16).digest(), own.tobytes(), band_keys(own)))
+            yield pd.DataFrame(rows, columns=["id", "mark", "n", "digest", "regs", "keys"]).astype({"id": "Int64", "mark": "int64"})
 
-    return docs.mapInPandas(sketch, "id long, n long, digest binary, regs binary, keys array<long>")
+    return docs.mapInPandas(sketch, "id long, mark long, n long, digest binary, regs binary, keys array<long>")
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
@@ -181,7 +181,7 @@ def _across_components(across: DataFrame, reps: DataFrame, texts: DataFrame, scr
             out += [(i, b) for b in ids[hit[first]]]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    sized = across.join(reps.groupBy("id").agg(F.max("n").alias("n")), "id")
+    sized = across.join(reps.select("id", "n"), "id")
     is_minor = F.col("part") != F.col("main")
     blocks = lambda total: F.ceil(F.coalesce(total, F.lit(0)) / BLOCK).cast("int")
     totals = sized.groupBy("lead").agg(blocks(F.sum(F.when(is_minor, F.col("n")))).alias("gm"), blocks(F.sum("n")).alias("go"))
@@ -204,22 +204,23 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 4, doc_id: s
     Documents are linked where 100 * |A and B| >= percent * |A or B| over their sets of ``size``-word shingles; component_id is the
     smallest doc_id reachable by links, itself included. Null and empty texts, and texts of white space, have no shingles and link with
     nothing. Rows that share a doc_id are one document: links of any of them count for it. A row without doc_id links with nothing, has
-    a null component_id and is kept. Repeated rows stay; an empty table gives an empty one. Other columns are not looked at.
+    a null component_id and is kept. Repeated rows stay, and cost no more than one of them after the first grouping; an empty table gives
+    an empty one. Other columns are not looked at.
     """
     scratch = Scratch(docs.sparkSession, "near")
-    base = docs.select(docs[doc_id].cast("long").alias("id"), docs[text].alias("text"))
+    base = docs.select(docs[doc_id].cast("long").alias("id"), docs[text].alias("text")).withColumn("mark", F.xxhash64("text"))
     sketches = scratch.save(_sketch_table(base, size), "sketches")
     known = sketches.where("n > 0 and id is not null")
-    # documents with one set of shingles are one node: the smallest id of them
-    classes = scratch.save(known.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
-    first = classes.select(F.col("digest").alias("d"), "rep")
-    reps = known.join(first, (F.col("digest") == F.col("d")) & (F.col("id") == F.col("rep"))).select("id", "n", "regs", "keys")
-    reps = scratch.save(reps, "reps")
+    # A node is a set of shingles, whatever number of rows has it: its number is given once, in a written table. ``at`` is the row, up to
+    # copies, whose text stands for it. Equal digests have equal sketches, so the first of them is any of them.
+    grouped = known.groupBy("digest").agg(F.min(F.struct("id", "mark")).alias("at"), *[F.first(c).alias(c) for c in ("n", "regs", "keys")])
+    nodes = scratch.save(grouped.select(F.monotonically_increasing_id().alias("id"), "digest", F.col("at.id").alias("doc"), F.col("at.mark").alias("mark"), "n", "regs", "keys"), "nodes")
+    reps = nodes.select("id", "n", "regs")
 
-    banded = reps.select("id", F.explode("keys").alias("key"))
+    banded = nodes.select("id", F.explode("keys").alias("key"))
     buckets = scratch.save(banded.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("low")).where("c > 1"), "buckets")
     members = scratch.save(banded.join(buckets, "key"), "members")
-    # leaders of a bucket: its smallest id, and the member that meets most others over all bands, which is near the middle of a group
+    # leaders of a bucket: its smallest node, and the member that meets most others over all bands, which is near the middle of a group
     central = scratch.save(members.groupBy("id").agg(F.sum("c").alias("w")), "central")
     leaders = members.join(central, "id").groupBy("key").agg(F.max_by("id", F.struct("w", -F.col("id"))).alias("lead"))
     leaders = scratch.save(leaders, "leaders")
@@ -227,7 +228,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 4, doc_id: s
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     pairs = scratch.save(starred.where("a <> b").select(*ordered).distinct(), "pairs")
 
-    texts = scratch.save(base.join(central.select("id"), "id", "left_semi"), "texts")
+    wanted = nodes.join(central.select("id"), "id", "left_semi").select(F.col("id").alias("node"), "doc", F.col("mark").alias("m"))
+    texts = base.join(wanted, (F.col("id") == F.col("doc")) & (F.col("mark") == F.col("m"))).dropDuplicates(["node"])
+    texts = scratch.save(texts.select(F.col("node").alias("id"), "text"), "texts")
     least = percent / 100 - SLACK
     links = scratch.save(_confirmed(_likely(pairs, reps, least), texts, size, percent), "links")
     joined = components(links, scratch, "first")
@@ -240,12 +243,21 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 4, doc_id: s
     mixed = parts.groupBy("lead").agg(F.count("*").alias("parts"), F.max_by("part", F.struct("size", "part")).alias("main")).where("parts > 1")
     across = scratch.save(placed.join(scratch.save(mixed.select("lead", "main"), "mixed"), "lead"), "across")
     more = _across_components(across, reps, texts, scratch, size, percent)
-    links = scratch.save(links.unionByName(more), "all_links")
-    found = components(links, scratch, "last")
-
-    of_class = classes.select(F.col("digest").alias("d"), "rep").join(found, F.col("rep") == F.col("id"), "left").select("d", F.coalesce("component", "rep").alias("c"))
-    of_class = scratch.save(of_class, "of_class")
-    scratch.drop("buckets", "members", "central", "leaders", "pairs", "texts", "placed", "mixed", "across", "totals", "links", "reps")
+    # the nodes of rows that share a doc_id are one document
+    held = known.groupBy("id", "digest").agg(F.lit(1).alias("one")).groupBy("id").agg(F.count("*").alias("sets"), F.min("digest").alias("least")).where("sets > 1")
+    held = scratch.save(held.select(F.col("id").alias("h"), "least"), "held")
+    several = known.select("id", "digest").distinct().join(held, F.col("id") == F.col("h")).where("digest <> least").select("digest", "least")
+    number = {c: nodes.select(F.col("digest").alias(f"d{c}"), F.col("id").alias(c)) for c in "ab"}
+    shared = several.join(number["a"], F.col("digest") == F.col("da")).join(number["b"], F.col("least") == F.col("db")).select("a", "b")
+    links = scratch.save(links.unionByName(more).unionByName(shared), "all_links")
+    found = scratch.save(components(links, scratch, "last").select(F.col("id").alias("node"), "component"), "found")
+
+    # the smallest doc_id of each component
+    of_node = nodes.select("id", "doc", F.col("digest").alias("d")).join(found, F.col("id") == F.col("node"), "left").select("d", "doc", F.coalesce("component", "id").alias("c"))
+    of_node = scratch.save(of_node, "of_node")
+    least = scratch.save(of_node.groupBy("c").agg(F.min("doc").alias("first"), F.count("*").alias("nodes")).where("nodes > 1").select(F.col("c").alias("k"), "first"), "least")
+    of_class = scratch.save(of_node.join(least, F.col("c") == F.col("k"), "left").select("d", F.coalesce("first", "doc").alias("first")), "of_class")
+    scratch.drop("nodes", "buckets", "members", "central", "leaders", "pairs", "texts", "links", "joined", "placed", "mixed", "across", "totals", "held", "all_links", "found", "of_node", "least")
     rows = sketches.select("id", "n", "digest").join(of_class, F.col("digest") == F.col("d"), "left")
-    component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("c", "id"))
+    component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("first", "id"))
     return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

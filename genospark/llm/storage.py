@@ -35,12 +35,20 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 class Scratch:
-    """Parquet tables of one operator run. ``drop`` removes a table that no later result reads."""
+    """Parquet tables of one operator run. ``drop`` removes a table that no later result reads; all others go when the driver ends, as a
+    result that is still to be computed may read them."""
 
     def __init__(self, spark: SparkSession, name: str):
         bound_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        path = self._path("")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as the table ``name`` and return it as read back; an executor lost later costs a re-read only."""
@@ -49,9 +57,8 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path = self._path(name)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

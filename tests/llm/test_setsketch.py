@@ -107,3 +107,18 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(300, 420)] + list(zip(path, path[1:])) + [(500, 500)] + [(600, x) for x in range(601, 650)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "t")).collect()}
     assert got == {**{i: 300 for i in range(300, 421)}, **{i: 0 for i in range(200)}, **{i: 600 for i in range(600, 650)}}
+
+
+def test_repeated_rows_do_not_multiply(spark):
+    """Two near copies, and a doc_id that a third of the rows share, a thousand rows each: the pairs to confirm stay few."""
+    near = ["a b c d e f g h i j k l m n o p q r s t u v w x y z", "a b c d e f g h i j k l m n o p q r s t u v w x y 1"]
+    rows = [(i, t) for i, t in enumerate(near) for _ in range(1000)] + [(7, f"w{n} some words of row {n} alone") for n in range(1000)]
+    got = {(r["doc_id"], r["component_id"]) for r in S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(0, 0), (1, 0), (7, 7)}
+
+
+def test_rows_of_one_document_join_its_neighbours(spark):
+    one, other = "a b c d e f g h i j k l", "m n o p q r s t u v w x"
+    rows = [(5, one), (5, other), (3, one), (9, other), (4, "z"), (4, None)]
+    got = {r["doc_id"]: r["component_id"] for r in S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {5: 3, 3: 3, 9: 3, 4: 4}
