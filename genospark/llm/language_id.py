@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from genospark.llm.storage import Scratch
@@ -24,6 +24,7 @@ from genospark.llm.storage import Scratch
 UNDETERMINED = "und"
 #: Bounds of what is learnt, all per language: labelled rows in the sample, letters read of the sample, letter groups kept.
 SAMPLE_ROWS, SAMPLE_LETTERS, GROUPS = 2000, 2_000_000, 50_000
+CELLS = 32_000_000  # numbers in a model's table at most: with many languages, fewer letter groups are kept of each
 SWITCH = 6.0  # natural-log penalty for a change of language between two words
 LONGEST = 40  # a longer word is learnt and scored piece by piece, each of this many letters
 _WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -60,7 +61,7 @@ class LanguageModel:
     languages: list[str]
     keys: np.ndarray  # letter groups as numbers, sorted
     table: np.ndarray  # log-probability of each in each language; the last row is of a group never seen
-    blocks: dict[int, int] = field(default_factory=dict)  # script block -> bit set of languages that use it
+    blocks: dict[int, np.ndarray] = field(default_factory=dict)  # script block -> which languages use it
 
     def score_many(self, found: list[str]) -> np.ndarray:
         """A row for each word: mean log-probability of its letter groups times its length, per language; -1e3 outside the candidates.
@@ -90,20 +91,24 @@ class LanguageModel:
         row = np.where(self.keys[row] == codes, row, len(self.keys))
         size = np.array([min(len(w), LONGEST) for w in found]) / np.bincount(word, minlength=len(found))
         out = np.stack([np.bincount(word, self.table[row, k], len(found)) for k in range(langs)], axis=1) * size[:, None]
-        bits = self._candidates(text[at] >> _BLOCK, np.array(owner)[piece[at]], len(found))
-        return np.where(bits[:, None] >> np.arange(langs) & 1, out, -1e3)
+        allowed = self._candidates(text[at] >> _BLOCK, np.array(owner)[piece[at]], len(found))
+        return np.where(allowed, out, -1e3)
 
     def _candidates(self, blocks: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
-        """The languages whose scripts cover each word, as bits; all, where no language covers all of it."""
-        every = (1 << len(self.languages)) - 1
+        """Which languages' scripts cover each word, as n rows of truth values; all, where no language covers all of it."""
+        every = np.ones(len(self.languages), bool)
         known, place = np.unique(blocks, return_inverse=True)
-        bits = np.array([self.blocks.get(int(b), every) for b in known], np.int64)[place]
-        out = np.full(n, every, np.int64)
-        np.bitwise_and.at(out, word, bits)
-        return np.where(out == 0, every, out)
+        uses = np.array([self.blocks.get(int(b), every) for b in known], bool).reshape(len(known), len(every))
+        out = np.ones((n, len(every)), bool)
+        pairs = np.unique(word * len(known) + place)  # a word's blocks, once each
+        np.logical_and.at(out, pairs // max(1, len(known)), uses[pairs % max(1, len(known))])
+        out[~out.any(axis=1)] = True
+        return out
 
     def candidates(self, word: str) -> int:
-        return int(self._candidates(np.array([ord(c) >> _BLOCK for c in word], np.int64), np.zeros(len(word), np.int64), 1)[0])
+        """The candidates of one word as a bit set."""
+        row = self._candidates(np.array([ord(c) >> _BLOCK for c in word], np.int64), np.zeros(len(word), np.int64), 1)[0]
+        return sum(1 << k for k, yes in enumerate(row) if yes)
 
     def score(self, word: str) -> tuple[float, ...]:
         return tuple(self.score_many([word])[0])
@@ -113,7 +118,8 @@ def learn(docs: DataFrame, seed: str = "language") -> LanguageModel:
     """A model from a bounded sample of labelled rows (lang, text, and a column ``key`` that only decides who is in the sample).
 
     At most about SAMPLE_ROWS rows and SAMPLE_LETTERS letters per language are read, whatever the size of ``docs``. Letter groups are
-    counted on the executors; the driver gets at most GROUPS of them per language. Rows without text or label teach nothing.
+    counted on the executors; the driver gets at most GROUPS of them per language, and CELLS / languages in all. Rows without text or label
+    teach nothing.
     """
     labelled = docs.where("lang is not null and text is not null and text <> ''")
     sizes = {r["lang"]: r for r in labelled.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("letters")).collect()}
@@ -141,10 +147,11 @@ def learn(docs: DataFrame, seed: str = "language") -> LanguageModel:
     scratch = Scratch(docs.sparkSession, "language")
     counted = sample.mapInPandas(count, "lang string, group string, n long").groupBy("lang", "group").agg(F.sum("n").alias("n"))
     counted = scratch.save(counted, "groups")
-    rows: dict[str, list] = {}
-    for lang in sorted(sizes):
-        most = counted.where(F.col("lang") == lang).orderBy(F.desc("n"), "group").limit(GROUPS)
-        rows[lang] = most.select("group", "n").collect()
+    most = min(GROUPS, max(1, CELLS // len(sizes) ** 2))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "group"))
+    rows: dict[str, list] = {lang: [] for lang in sorted(sizes)}
+    for r in counted.withColumn("place", place).where(F.col("place") <= most).toLocalIterator():
+        rows[r["lang"]].append((r["group"], r["n"]))
     scratch.drop("groups")
     return fitted(rows)
 
@@ -155,12 +162,12 @@ def fitted(rows: dict[str, list]) -> LanguageModel:
     total = {k: [sum(n for g, n in rows[k] if len(g) == size) for size in (1, 2, 3)] for k in languages}
     unseen = [math.log(0.5 / (total[k][2] + 1)) for k in languages]
     groups: dict[int, list[float]] = {}
-    blocks: dict[int, int] = {}
+    blocks: dict[int, np.ndarray] = {}
     for k, lang in enumerate(languages):
         for group, n in rows[lang]:
             groups.setdefault(_packed(group), list(unseen))[k] = math.log(n / total[lang][len(group) - 1])
             if len(group) == 1 and n >= 2e-5 * total[lang][0]:
-                blocks[ord(group) >> _BLOCK] = blocks.get(ord(group) >> _BLOCK, 0) | 1 << k
+                blocks.setdefault(ord(group) >> _BLOCK, np.zeros(len(languages), bool))[k] = True
     keys = np.array(sorted(groups), np.int64)
     table = np.array([groups[g] for g in sorted(groups)] + [unseen], np.float64).reshape(len(keys) + 1, len(languages))
     return LanguageModel(languages, keys, table, blocks)
@@ -169,8 +176,8 @@ def fitted(rows: dict[str, list]) -> LanguageModel:
 class Labeller:
     """Viterbi over the word scores of many texts at once, the texts side by side in arrays."""
 
-    def __init__(self, model: LanguageModel, most: int = 200_000):
-        self.model, self.most = model, most
+    def __init__(self, model: LanguageModel, most: int = 1_000_000):
+        self.model, self.most = model, most // max(5, len(model.languages))  # numbers of words kept, by their scores
         self._forget()
 
     def _forget(self) -> None:
@@ -195,37 +202,38 @@ class Labeller:
         known = self.index.__getitem__
         numbers = [np.fromiter(map(known, found), np.int64, len(found)) for found in split]
         scores, langs = self.scores, len(self.model.languages)
-        out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int8), n) for n in numbers]
+        out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int16), n) for n in numbers]
         if not langs:
             return out
         order = sorted((i for i, n in enumerate(numbers) if len(n)), key=lambda i: -len(numbers[i]))
         at = 0
-        while at < len(order):  # texts of like length together, about a million words at a time
+        while at < len(order):  # texts of like length together, about a million words at a time, or fewer for many languages
             longest = len(numbers[order[at]])
-            group = order[at : at + max(1, 1_000_000 // longest)]
+            group = order[at : at + max(1, 1_000_000 // longest // (1 + langs // 64))]
             at += len(group)
             lengths = np.array([len(numbers[i]) for i in group])
             flat = np.zeros((longest, len(group)), np.int64)
             for column, i in enumerate(group):
                 flat[: lengths[column], column] = numbers[i]
-            came = np.zeros((longest, len(group), langs), np.int8)
+            # the best path into a language stays in it or comes from the best language of the word before: one bit, and one number a word
+            switched, came = np.zeros((longest, len(group), -(-langs // 8)), np.uint8), np.zeros((longest, len(group)), np.int16)
             value = scores[flat[0]].copy()
             alive = np.searchsorted(-lengths, -np.arange(longest), side="left")  # texts longer than t words
-            stay = np.arange(langs, dtype=np.int8)
             for t in range(1, longest):
                 n = alive[t]
                 v = value[:n]
                 best = v.argmax(axis=1)
                 top = v[np.arange(n), best] - SWITCH
                 switch = top[:, None] > v
-                came[t, :n] = np.where(switch, best[:, None].astype(np.int8), stay)
+                switched[t, :n], came[t, :n] = np.packbits(switch, axis=1), best
                 value[:n] = np.where(switch, top[:, None], v) + scores[flat[t, :n]]
             state = value.argmax(axis=1)
-            path = np.zeros((longest, len(group)), np.int8)
+            path = np.zeros((longest, len(group)), np.int16)
             for t in range(longest - 1, -1, -1):
                 n = alive[t]
                 path[t, :n] = state[:n]
-                state[:n] = came[t, np.arange(n), state[:n]]
+                own = state[:n]
+                state[:n] = np.where(switched[t, np.arange(n), own >> 3] >> (7 - (own & 7)) & 1, came[t, :n], own)
             for column, i in enumerate(group):
                 out[i] = (path[: lengths[column], column], numbers[i])
         return out

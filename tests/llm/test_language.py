@@ -98,3 +98,20 @@ def test_language_without_blanks(spark):
     m = L.learn_from_documents(docs)
     assert m.languages == ["aa", "zz"]
     assert all(r["lang_pred"] == r["lang"] for r in L.predict(docs, m).collect())
+
+
+def test_many_languages(spark):
+    """More languages than bits of a machine word, or values of a byte; one of them in a script of its own."""
+    from collections import Counter
+
+    rng = random.Random(5)
+    words = {f"l{k:03d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(4)] for k in range(199)} | {"thai": ["กขคง", "งคขก"]}
+    m = L.fitted({k: Counter(g for w in v for g in L.letter_groups(w)).most_common() for k, v in words.items()})
+    assert len(m.languages) == 200 and m.candidates("กข") == 1 << 199
+    texts = [" ".join(rng.choices(v, k=12)) for v in words.values()]
+    assert [x[0] for x in L.Labeller(m).label(texts)] == list(words)
+    mixed = " ".join([*words["l150"], *words["l003"], *words["thai"]])
+    assert [s[2] for s in L.Labeller(m).spans(mixed)] == ["l150", "l003", "thai"]
+    docs = spark.createDataFrame([(n, t, k, "s") for k, v in words.items() for n, t in enumerate([" ".join(v)] * 3)], "doc_id long, text string, lang string, score string")
+    learnt = L.learn(docs.selectExpr("lang", "text", "concat(lang, doc_id) as key"))
+    assert len(learnt.languages) == 200 and len(learnt.table) <= L.CELLS // 200 + 1
