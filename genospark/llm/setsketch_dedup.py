@@ -229,7 +229,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 4, doc_id: s
     pairs = scratch.save(starred.where("a <> b").select(*ordered).distinct(), "pairs")
 
     wanted = nodes.join(central.select("id"), "id", "left_semi").select(F.col("id").alias("node"), "doc", F.col("mark").alias("m"))
-    texts = base.join(wanted, (F.col("id") == F.col("doc")) & (F.col("mark") == F.col("m"))).dropDuplicates(["node"])
+    texts = base.join(wanted, (F.col("id") == F.col("doc")) & (F.col("mark") == F.col("m"))).dropDuplicates(["doc", "m"])
     texts = scratch.save(texts.select(F.col("node").alias("id"), "text"), "texts")
     least = percent / 100 - SLACK
     links = scratch.save(_confirmed(_likely(pairs, reps, least), texts, size, percent), "links")

@@ -65,3 +65,29 @@ def test_minimisers_agree():
 
 def test_empty(spark):
     assert D.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_runs_cut_by_borders(spark, monkeypatch):
+    """A passage that most documents share, left and right partners that are no neighbours, and chunks of a few rows."""
+    rng = random.Random(4)
+    core = [f"c{n}" for n in range(12)]
+    lefts, rights = [[f"l{k}x{n}" for n in range(45)] for k in range(4)], [[f"r{k}x{n}" for n in range(45)] for k in range(4)]
+    rows = []
+    for i in range(150):
+        left, right = list(rng.choice(lefts)), list(rng.choice(rights))
+        left[rng.randrange(45)], right[rng.randrange(45)] = f"u{i}", f"v{i}"
+        rows.append((i, " ".join(left + core + right)))
+    rows += [(i, t) for i, t in rows[:3]] * 5 + [(200, rows[0][1] + " " + "y" * 100_000), (7, "another text of document seven " + " ".join(core))]
+    wanted = brute(rows[:150] + rows[165:166], D.SIZE)
+    for chunk in (7, 60, 20_000):
+        monkeypatch.setattr(D, "CHUNK", chunk)
+        got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in D.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["n_words"] > 50}
+        assert got == wanted
+
+
+def test_document_with_two_texts(spark):
+    """A text of document 5 that document 7 has too is repeated wherever document 5's other text holds its words."""
+    words = " ".join(f"w{n}" for n in range(60))
+    rows = [(5, words), (7, words), (5, "before " + words), (8, "x " * 70), (8, "x " * 70), (8, "y " + "x " * 70)]
+    got = sorted((r["doc_id"], r["n_words"], r["n_repeated"]) for r in D.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(5, 60, 60), (5, 61, 60), (7, 60, 60)]
