@@ -3,7 +3,8 @@
 Texts and passages are compared as lower-case UTF-8 bytes in which ASCII punctuation and white space are single blanks. A passage of m
 bytes that occurs in a text with at most k edits shares at least m - q + 1 - k * q of its q-grams with it, on diagonals (text position
 minus passage position) that lie within k of each other. Shared q-grams are counted in overlapping bands of diagonals; bands that meet
-the bound are kept, and banded alignment of passage and region tells the true number of edits.
+the bound are kept, and banded alignment of passage and region tells the true number of edits. Passages under q bytes, which have no
+q-gram, are looked for as whole words without edits.
 """
 
 from __future__ import annotations
@@ -15,9 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from genospark.llm.storage import Scratch
+
 Q = 8  # bytes to a q-gram, so that a gram is exactly one 64-bit number
 BUDGET = 0.10  # edits allowed, as a share of the passage's bytes
-BLOCK_BYTES = 32 << 20  # passages on the executors at a time
+BLOCK_BYTES = 32 << 20  # passages on the driver and the executors at a time
 _BITS = 22
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -27,6 +30,17 @@ def normalise(text: str | None) -> bytes:
     return b" ".join(text.lower().encode("utf-8").translate(_FOLD).split()) if text else b""
 
 
+def characters(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Where spans of bytes of the normalised text begin and end in the text itself, in characters."""
+    place, blank = [], True  # the character that each byte of the normalised text came from
+    for at, letter in enumerate(text):
+        for byte in letter.lower().encode("utf-8").translate(_FOLD):
+            if byte != 32 or not blank:
+                place.append(at)
+            blank = byte == 32
+    return [(place[a], place[b - 1] + 1) for a, b in spans]
+
+
 def grams(data: bytes) -> np.ndarray:
     """The q-gram at each position, as a number."""
     n = len(data) - Q + 1
@@ -86,6 +100,10 @@ class PassageIndex:
 
     def __init__(self, items: list[tuple[int, str | None]]):
         found = [(i, normalise(t)) for i, t in items]
+        self.short: dict[tuple[bytes, ...], list[int]] = {}  # the words of a passage without q-grams
+        for i, d in found:
+            if 0 < len(d) < Q:
+                self.short.setdefault(tuple(d.split()), []).append(i)
         self.items = [(i, d) for i, d in found if len(d) >= Q]
         self.arrays = [np.frombuffer(d, np.uint8) for _, d in self.items]
         lengths = np.array([len(d) for _, d in self.items], np.int64)
@@ -104,8 +122,23 @@ class PassageIndex:
 
     def search(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item_id, start, end, edits) of the best occurrence of each passage found; positions are bytes of the normalised text."""
-        if not self.items or not text or len(data := normalise(text)) < Q:
+        if not text or not (data := normalise(text)):
+            return []
+        return sorted(self._short(data) + (self._long(data) if self.items and len(data) >= Q else []))
+
+    def _short(self, data: bytes) -> list[tuple[int, int, int, int]]:
+        if not self.short:
             return []
+        words = data.split()
+        start = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])]).tolist()
+        best: dict[int, tuple[int, int]] = {}
+        for size in {len(k) for k in self.short}:
+            for at in range(len(words) - size + 1):
+                for i in self.short.get(tuple(words[at : at + size]), ()):
+                    best.setdefault(i, (start[at], start[at + size] - 1))
+        return [(i, a, b, 0) for i, (a, b) in best.items()]
+
+    def _long(self, data: bytes) -> list[tuple[int, int, int, int]]:
         own = grams(data)
         where = np.flatnonzero(self.seen[_slots(own)])
         if not len(where):
@@ -149,52 +182,73 @@ class PassageIndex:
                     continue
                 found = (got[0], got[1] + from_, got[2] + from_)
             best[k] = min(best.get(k, found), found)
-        return [(self.items[k][0], start, end, edits) for k, (edits, start, end) in sorted(best.items())]
+        return [(self.items[k][0], start, end, edits) for k, (edits, start, end) in best.items()]
 
 
-def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str | None]]]:
-    """The passages in blocks of about ``limit`` bytes, so that what the executors hold at once stays bounded whatever the number of passages."""
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).first()["b"]
+def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", limit: int = BLOCK_BYTES) -> list[DataFrame]:
+    """The passages in blocks of about ``limit`` bytes, so that what driver and executors hold at once stays bounded whatever their number."""
+    rows = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).where("text is not null")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("b")).first()["b"]
     parts = max(1, -(-size // limit))
-    for part in range(parts):
-        chosen = benchmark.where(F.pmod(F.xxhash64(text), F.lit(parts)) == part) if parts > 1 else benchmark
-        yield [(r[0], r[1]) for r in chosen.select(item_id, text).where(F.col(text).isNotNull()).collect()]
+    return [rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part) for part in range(parts)] if parts > 1 else [rows]
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, start, end, edits): each passage that occurs in a document within its edit budget, at its best place.
+def _shared(block: DataFrame):
+    return block.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in block.collect()])
 
-    Passages shorter than Q bytes once normalised, null ones too, are never found; null and empty texts contain nothing. Rows that share
-    a doc_id are searched each for itself, and repeated passages are reported under each item_id. Empty tables give no rows.
+
+def find_passages(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", limit: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, item_id, start, end, edits, char_start, char_end): each passage that occurs in a document within its edit budget, at its
+    best place: bytes of the normalised text, and characters of the text itself.
+
+    Passages under Q bytes once normalised must occur as whole words and without edits; null ones, and those without letters or digits,
+    are never found. Null and empty texts contain nothing. Rows that share a doc_id are searched each for itself, and repeated passages
+    are reported under each item_id. Empty tables give no rows. A benchmark of more than ``limit`` bytes is searched block by block, each
+    block's finds written before the next one is sent.
     """
-    schema = "doc_id long, item_id long, start long, end long, edits long"
     rows = docs.select(docs[doc_id].cast("long").alias("id"), docs[text].alias("text")).where("text is not null and text <> ''")
-    out = None
-    for block in blocks(benchmark, item_id, item_text):
-        found = _search(rows, block, schema)
+    parts = blocks(benchmark, item_id, item_text, limit)
+    if len(parts) == 1:
+        return _search(rows, _shared(parts[0]))
+    scratch, out = Scratch(docs.sparkSession, "passages"), None
+    for n, part in enumerate(parts):
+        shared = _shared(part)
+        found = scratch.save(_search(rows, shared), f"block{n}")
+        shared.destroy()
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _search(rows: DataFrame, block: list[tuple[int, str | None]], schema: str) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(block)
-
+def _search(rows: DataFrame, shared) -> DataFrame:
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = PassageIndex(shared.value)
         for batch in batches:
-            found = [(i, *hit) for i, t in zip(batch["id"], batch["text"]) for hit in index.search(t)]
-            yield pd.DataFrame(found, columns=["doc_id", "item_id", "start", "end", "edits"]).astype({"doc_id": "Int64", "item_id": "Int64"})
+            found = []
+            for i, t in zip(batch["id"], batch["text"]):
+                if hits := index.search(t):
+                    found += [(i, *hit, *place) for hit, place in zip(hits, characters(t, [(h[1], h[2]) for h in hits]))]
+            columns = ["doc_id", "item_id", "start", "end", "edits", "char_start", "char_end"]
+            yield pd.DataFrame(found, columns=columns).astype({"doc_id": "Int64", "item_id": "Int64"})
 
-    return rows.mapInPandas(search, schema)
+    return rows.mapInPandas(search, "doc_id long, item_id long, start long, end long, edits long, char_start long, char_end long")
 
 
-def clean_rows(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text holds no passage of ``benchmark``. Null texts stay."""
-    kept = docs
-    for block in blocks(benchmark, "item_id", item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+def clean_rows(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", limit: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text holds no passage of ``benchmark``. Null and empty texts stay, repeated rows
+    too; an empty benchmark takes nothing.
 
+    A benchmark of more than ``limit`` bytes is applied block by block, what is left each time written before the next block is sent.
+    """
+    kept, parts = docs, blocks(benchmark, "item_id", item_text, limit)
+    scratch = Scratch(docs.sparkSession, "clean") if len(parts) > 1 else None
+    for n, part in enumerate(parts):
+        shared = _shared(part)
         kept = kept.where(_is_clean(shared)(F.col(text)))
+        if scratch:
+            kept = scratch.save(kept, f"after{n}")
+            shared.destroy()
+            if n:
+                scratch.drop(f"after{n - 1}")
     return kept
 
 

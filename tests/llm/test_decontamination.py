@@ -61,5 +61,21 @@ def test_frames(spark):
     clean = D.clean_rows(docs, benchmark)
     assert clean.columns == docs.columns and sorted(str(r["doc_id"]) for r in clean.collect()) == ["1", "2", "3", "4"]
     assert D.find_passages(docs, benchmark.limit(0)).count() == 0 and D.find_passages(docs.limit(0), benchmark).count() == 0
-    parts = list(D.blocks(benchmark, limit=30))
-    assert sorted(i for b in parts for i, _ in b) == [1, 2, 4]
+    parts = D.blocks(benchmark, limit=30)
+    assert len(parts) > 2 and sorted(r["item_id"] for b in parts for r in b.collect()) == [1, 2, 4]
+    several = D.find_passages(docs, benchmark, limit=30)
+    assert sorted((r["doc_id"] or 0, r["item_id"], r["edits"]) for r in several.collect()) == got
+    assert sorted(str(r["doc_id"]) for r in D.clean_rows(docs, benchmark, limit=30).collect()) == ["1", "2", "3", "4"]
+
+
+def test_short_passages_are_whole_words():
+    index = D.PassageIndex([(1, "Tiny"), (2, "a-b c"), (3, "tiny"), (4, "!?"), (5, "alpha beta gamma")])
+    assert index.search("some tiny thing, A b: c") == [(1, 5, 9, 0), (2, 16, 21, 0), (3, 5, 9, 0)]
+    assert index.search("tinyish b c a b") == [] and index.search("tiny") == [(1, 0, 4, 0), (3, 0, 4, 0)]
+
+
+def test_places_in_characters(spark):
+    text = "  Ünï -- The QUICK, brown\tfox İ jumps!  End"
+    passage = "quick brown fox İ jumps"
+    hit, = D.find_passages(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(9, passage)], "item_id long, text string")).collect()
+    assert text[hit["char_start"] : hit["char_end"]] == "QUICK, brown\tfox İ jumps"
