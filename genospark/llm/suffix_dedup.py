@@ -5,8 +5,9 @@ runs choose the same place, so a repeated passage always shares a kept suffix at
 sort of their first GRAM words, as one number each, drops those. The rest are sorted by the words that follow, neighbours are compared,
 and each match is extended right and left from the common place, word by word; where it reaches ``size`` words, it is a repeat. A suffix
 may match one neighbour better to the right and a farther one better to the left, so within a run of suffixes that begin alike every
-split of ``size`` words into left and right part is compared too. A run cut by the border of a task is settled by grouping its windows,
-so nothing depends on how many suffixes begin alike. Overlapping repeats merge into spans.
+split of ``size`` words into left and right part is compared too. Where a run is cut by the border of a task, the windows that are no
+repeat on their own side are grouped with one row for each window of the other sides, so nothing depends on how many suffixes begin
+alike. Overlapping repeats merge into spans.
 """
 
 from __future__ import annotations
@@ -168,24 +169,29 @@ def _repeats(rows: pd.DataFrame, run: np.ndarray, sums: tuple, lengths: tuple, s
 
 
 def _extended(size: int):
-    """Of sorted suffixes: spans (node, start, end) that repeat; and of runs cut by a border each window, by two numbers w and v."""
+    """Of sorted suffixes: spans (node, start, end) that repeat; and of runs cut by a border, by two numbers w and v: each window that is
+    no repeat here, and, without node, one row for each window that is."""
 
     def settle(rows: pd.DataFrame, begins: np.ndarray, open_runs: set) -> Iterator[pd.DataFrame]:
-        run = np.cumsum(np.concatenate([[True], begins[1:] != begins[:-1]])) - 1 if len(rows) else np.zeros(0, np.int64)
-        sums, lengths = zip(_prefixes(rows["right"], size), _prefixes(rows["left"], size - GRAM))
-        is_open = np.fromiter((b in open_runs for b in begins), bool, len(rows))
-        closed = np.flatnonzero(~is_open)
-        found = _repeats(rows.iloc[closed], run[closed], [x[closed] for x in sums], [x[closed] for x in lengths], size)
-        hit = found.any(axis=1)
-        node, at = rows["node"].to_numpy(), rows["at"].to_numpy()
+        if not len(rows):
+            return
+        run = np.cumsum(np.concatenate([[True], begins[1:] != begins[:-1]])) - 1
+        (right, n_right), (left, n_left) = _prefixes(rows["right"], size), _prefixes(rows["left"], size - GRAM)
+        found = _repeats(rows, run, (right, left), (n_right, n_left), size)
+        hit = np.flatnonzero(found.any(axis=1))
+        node, at, low, high = (rows[c].to_numpy() for c in ("node", "at", "low", "high"))
         # the windows of one place overlap, so they are one span
-        start, end = at[closed] - (size - GRAM - found[:, ::-1].argmax(axis=1)), at[closed] - found.argmax(axis=1) + size
-        yield pd.DataFrame({"node": node[closed][hit], "start": start[hit], "end": end[hit], "w": None, "v": None, "low": None, "high": None})
-        opened = np.flatnonzero(is_open)
+        start, end = at[hit] - (size - GRAM - found[hit, ::-1].argmax(axis=1)), at[hit] - found[hit].argmax(axis=1) + size
+        yield pd.DataFrame({"node": node[hit], "start": start, "end": end, "w": None, "v": None, "low": None, "high": None})
+        opened = np.flatnonzero(np.fromiter((b in open_runs for b in begins), bool, len(rows)))
         for o in range(size - GRAM + 1 if len(opened) else 0):
-            mine = opened[(lengths[1][opened] >= o) & (lengths[0][opened] >= size - o)]
-            w, v = (_window(sums[1][mine, o], sums[0][mine, size - o], o, f).view(np.int64) for f in (_Q, _M))
-            yield pd.DataFrame({"node": node[mine], "start": at[mine] - o, "end": at[mine] - o + size, "w": w, "v": v, "low": rows["low"].to_numpy()[mine], "high": rows["high"].to_numpy()[mine]})
+            mine = opened[(n_left[opened] >= o) & (n_right[opened] >= size - o)]
+            w, v = (_window(left[mine, o], right[mine, size - o], o, f).view(np.int64) for f in (_Q, _M))
+            known = found[mine, o]
+            table = pd.DataFrame({"node": node[mine], "start": at[mine] - o, "end": at[mine] - o + size, "w": w, "v": v, "low": low[mine], "high": high[mine]})
+            yield table[~known]
+            once = table[known].groupby(["w", "v"], sort=False, as_index=False).agg(low=("low", "min"), high=("high", "max"))
+            yield once.assign(node=None, start=None, end=None)[list(table.columns)]
 
     def beginnings(rows: pd.DataFrame) -> np.ndarray:
         out = np.empty(len(rows), object)
@@ -271,7 +277,7 @@ def repeated_passages(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id",
     repeated = windows.groupBy("w", "v").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("w", "v")
     repeated = scratch.save(repeated, "repeated")
     span = ["node", F.struct("start", "end").alias("span")]
-    spans_of = found.where("w is null").select(*span).unionByName(windows.join(repeated.hint("merge"), ["w", "v"]).select(*span))
+    spans_of = found.where("w is null").select(*span).unionByName(windows.where("node is not null").join(repeated.hint("merge"), ["w", "v"]).select(*span))
 
     @F.pandas_udf("array<struct<start:int,end:int>>")
     def joined(found: pd.Series) -> pd.Series:
