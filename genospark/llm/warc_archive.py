@@ -1,8 +1,10 @@
 """A content-addressed WARC archive.
 
-Two tables make the archive. ``payloads`` holds the bytes of each distinct payload once, under its SHA-1 (verified by SHA-256 and
-length when written, and by a new SHA-1 when read). ``heads`` holds for each record its exact leading bytes: the WARC header and the
-HTTP header. A record is its head, for a response followed by the payload, then two line ends; a join on the digest restores it.
+Two tables make the archive. ``payloads`` holds the bytes of each distinct payload once, under its SHA-256, with the SHA-1 that record
+headers name; length and SHA-1 are computed anew when read. ``heads`` holds for each record its exact leading bytes: the WARC header
+and the HTTP header. A record is its head, for a response followed by the payload, then two line ends; a join on the SHA-256 restores it.
+Payloads and the heads of responses are bucketed by SHA-256, so the bytes of payloads are shuffled once, when they are grouped, and never
+to be read. Heads of revisits are dealt out, as any number of them may name one payload.
 """
 
 from __future__ import annotations
@@ -35,28 +37,30 @@ def _clean(url: Column) -> Column:
     return F.regexp_replace(F.coalesce(url, F.lit("")), r"[\x00-\x20\x7f]", "%20")
 
 
+def _bucketed(df: DataFrame, scratch: Scratch, name: str, key: str) -> DataFrame:
+    """``df`` as a table whose buckets, by ``key``, are as many as the session's shuffle partitions."""
+    spark = scratch.spark
+    buckets, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{scratch.root.rpartition('/')[2]}_{name}".replace("-", "_")
+    writer = df.write.format("parquet").option("path", f"{scratch.root}/{name}").option("compression", "zstd")
+    writer.bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    return spark.table(table)
+
+
 def write_archive(pages: DataFrame, scratch: Scratch, date: str = "1970-01-01T00:00:00Z") -> tuple[DataFrame, DataFrame]:
     """One WARC record per row of ``pages`` (page_id, url, html), as the tables (heads, payloads).
 
     Null html is the empty payload, null url an empty target; characters that would break a header line become %20. Of records with
     equal payloads, empty ones too, that with the largest page_id is a response and the others revisit it; a null page_id counts as
-    smallest. Repeated rows of the largest page_id are all responses. A pair of payloads that share SHA-1 but not SHA-256 is an error.
+    smallest. Repeated rows of the largest page_id are all responses. Payloads that share a SHA-1 but not a SHA-256 are stored apart.
     """
     record = pages.select(pages["page_id"].alias("page_id"), pages["url"].alias("url"), F.encode(F.coalesce(pages["html"], F.lit("")), "UTF-8").alias("payload"))
-    record = record.withColumns({"digest": base32_sha1(F.col("payload")), "length": F.octet_length("payload").cast("long")})
-    same = record.select("page_id", "digest", "length", F.sha2("payload", 256).alias("strong")).groupBy("digest").agg(
-        F.max("page_id").alias("response_id"), F.min("strong").alias("low"), F.max("strong").alias("high"), F.min("length").alias("short"), F.max("length").alias("long")
-    )
-    verified = F.when((F.col("low") == F.col("high")) & (F.col("short") == F.col("long")), F.col("digest")).otherwise(F.raise_error(F.lit("two payloads share a SHA-1")))
-    groups = scratch.save(same.select(verified.alias("digest"), "response_id", F.col("low").alias("sha256")), "groups")
-    keys = groups.select(F.col("digest").alias("g_digest"), "response_id", "sha256")
-    # responses alone carry payloads; (digest, page_id) is the join key, so a payload that many pages share is no hot key
-    payloads = scratch.save(
-        record.join(keys, (F.col("digest") == F.col("g_digest")) & F.col("page_id").eqNullSafe(F.col("response_id")))
-        .select("digest", "page_id", "sha256", "length", "payload").dropDuplicates(["digest", "page_id"]).drop("page_id"),
-        "payloads",
-    )
-    joined = record.select("page_id", "url", "digest", "length").join(keys, F.col("digest") == F.col("g_digest"))
+    record = record.withColumn("sha256", F.unhex(F.sha2("payload", 256)))
+    # equal payloads meet in an aggregate that begins before the shuffle, so one that many pages share is no hot key
+    stored = record.groupBy("sha256").agg(F.max("page_id").alias("response_id"), F.first("payload").alias("payload"))
+    payloads = _bucketed(stored.select("sha256", base32_sha1(F.col("payload")).alias("digest"), F.octet_length("payload").cast("long").alias("length"), "response_id", "payload"), scratch, "payloads", "sha256")
+    plain = scratch.spark.read.schema(payloads.schema).parquet(f"{scratch.root}/payloads")  # without buckets, so that a hot key's rows can be split in the join
+    keys = plain.select(F.col("sha256").alias("key"), "response_id", "digest", "length")
+    joined = record.select("page_id", "url", "sha256").join(keys, F.col("sha256") == F.col("key"))
     is_response = F.col("page_id").eqNullSafe(F.col("response_id"))
     uri = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
     http = _lines(F.lit("HTTP/1.1 200 OK"), F.lit("Content-Type: text/html; charset=utf-8"), F.concat(F.lit("Content-Length: "), F.col("length").cast("string")))
@@ -65,12 +69,14 @@ def write_archive(pages: DataFrame, scratch: Scratch, date: str = "1970-01-01T00
     response = _lines(F.lit("WARC/1.0"), F.lit("WARC-Type: response"), *common, size(F.col("length")))
     revisit = _lines(F.lit("WARC/1.0"), F.lit("WARC-Type: revisit"), *common, F.lit("WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"), F.concat(F.lit("WARC-Refers-To: "), uri("response_id")), size(F.lit(0)))
     head = F.encode(F.concat(F.when(is_response, response).otherwise(revisit), F.col("http")), "UTF-8")
-    heads = scratch.save(joined.withColumn("http", http).select("digest", head.alias("head")), "heads")
-    return heads, payloads
+    heads = joined.withColumn("http", http).select("sha256", is_response.alias("response"), head.alias("head"))
+    place = F.when(F.col("response"), F.col("sha256")).otherwise(F.unhex(F.sha2("head", 256)))
+    buckets = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+    return _bucketed(heads.withColumn("place", place).repartition(buckets, "place"), scratch, "heads", "place"), payloads
 
 
 def parsed_heads(heads: DataFrame) -> DataFrame:
-    """The fields of each record's head, from its bytes: page_id, digest, record_type, refers_to, head."""
+    """The fields of each record's head, from its bytes: page_id, digest, record_type, refers_to, next to the columns of ``heads``."""
     text = F.decode("head", "UTF-8")
     field = lambda pattern: F.regexp_extract(text, rf"(?md)^{pattern}\r$", 1)
     number = lambda pattern: F.when(field(pattern) != "", field(pattern).cast("long"))
@@ -79,24 +85,30 @@ def parsed_heads(heads: DataFrame) -> DataFrame:
         field("WARC-Payload-Digest: sha1:([A-Z2-7]{32})").alias("digest"),
         field("WARC-Type: ([a-z]+)").alias("record_type"),
         number("WARC-Refers-To: <urn:x-page:(-?[0-9]*)>").alias("refers_to"),
-        "head",
+        *heads.columns,
     )
 
 
 def read_archive(heads: DataFrame, payloads: DataFrame, contents: bool = False) -> DataFrame:
     """The records of an archive: page_id, payload_bytes, payload_digest, record_type, refers_to; with ``contents`` also payload and record (bytes).
 
-    Digest and length are computed anew from the stored bytes; a stored payload that no longer has its digest, or a record whose payload
-    is gone, is an error. A revisit's payload is that of the digest it names.
+    Every record is rebuilt from its head and, for a response, the stored payload; digest and length are those of the bytes behind the
+    head. A stored payload that no longer has the digest that the head names, or one that is gone, is an error. A revisit's payload is
+    that of the SHA-256 it is filed under.
     """
-    stored = payloads.select(F.col("digest").alias("p_digest"), base32_sha1(F.col("payload")).alias("found"), F.octet_length("payload").cast("long").alias("payload_bytes"), "payload")
-    both = parsed_heads(heads).join(stored, F.col("digest") == F.col("p_digest"), "left")
+    stored = payloads.select(F.col("sha256").alias("key"), "payload")
+    responses = heads.where("response").join(stored.hint("merge"), F.col("place") == F.col("key"), "left")
+    # the bytes that a reader has: the head, the payload, two line ends
+    responses = responses.withColumn("record", F.concat("head", "payload", F.lit(b"\r\n\r\n")))
+    body = F.expr("substring(record, octet_length(head) + 1, octet_length(record) - octet_length(head) - 4)")
+    facts = [base32_sha1(F.col("payload")).alias("found"), F.octet_length("payload").cast("long").alias("payload_bytes")]
+    read = responses.select("head", "record", body.alias("payload")).select("*", *facts)
+    named = stored.select("key", *facts, *(["payload"] if contents else []))
+    revisits = heads.where("not response").join(named, F.col("sha256") == F.col("key"), "left")
+    revisits = revisits.select("head", F.concat("head", F.lit(b"\r\n\r\n")).alias("record"), *([F.col("payload")] if contents else [F.lit(None).cast("binary").alias("payload")]), "found", "payload_bytes")
     good = F.when(F.col("found") == F.col("digest"), F.col("found")).otherwise(F.raise_error(F.concat(F.lit("payload missing or changed: "), F.col("digest"))))
-    out = both.select("page_id", "payload_bytes", good.alias("payload_digest"), "record_type", "refers_to", "head", "payload")
-    if not contents:
-        return out.drop("head", "payload")
-    body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return out.withColumn("record", F.concat("head", body, F.lit(b"\r\n\r\n"))).drop("head")
+    out = parsed_heads(read.unionByName(revisits)).select("page_id", "payload_bytes", good.alias("payload_digest"), "record_type", "refers_to", "payload", "record")
+    return out if contents else out.drop("payload", "record")
 
 
 def export_warc(records: DataFrame, path: str) -> None:

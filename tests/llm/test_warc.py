@@ -46,3 +46,12 @@ def test_changed_payload_is_an_error(spark):
 
 def test_empty(spark):
     assert W.read_archive(*W.write_archive(pages(spark, []), Scratch(spark, "w"))).count() == 0
+
+
+def test_no_payload_is_shuffled_to_be_read(spark):
+    """The tables' buckets meet without an exchange, so a record is rebuilt where its payload lies."""
+    heads, payloads = W.write_archive(pages(spark), Scratch(spark, "w"))
+    got = W.read_archive(heads.where("response"), payloads, contents=True)
+    got.collect()
+    responses = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in responses and "Exchange" not in responses
