@@ -30,9 +30,10 @@ def line_key(line: Column) -> list[Column]:
 
 
 def keyed_lines(docs: DataFrame, doc_id: str, site: str, text: str) -> DataFrame:
-    """A row (doc_id, site, h1, h2) per line that isn't blank."""
-    lines = docs.select(docs[doc_id].alias("doc_id"), docs[site].alias("site"), F.explode(split_lines(docs[text])).alias("line"))
-    return lines.where(F.btrim("line", F.lit(" \t\r")) != "").select("doc_id", "site", *line_key(F.col("line")))
+    """A row (doc_id, mark, site, n, h1, h2) per line that isn't blank: ``mark`` is a hash of the whole text, ``n`` the line's number from 0."""
+    base = docs.select(docs[doc_id].alias("doc_id"), docs[site].alias("site"), docs[text].alias("text"))
+    lines = base.select("doc_id", "site", F.xxhash64("text").alias("mark"), F.posexplode(split_lines(F.col("text"))).alias("n", "line"))
+    return lines.where(F.btrim("line", F.lit(" \t\r")) != "").select("doc_id", "mark", "site", "n", *line_key(F.col("line")))
 
 
 def _by_key(lines: DataFrame, keys: DataFrame) -> list[DataFrame]:
@@ -80,19 +81,21 @@ def remove_boilerplate(docs: DataFrame, sites: int = SITES, doc_id: str = "doc_i
     scratch = Scratch(docs.sparkSession, "lines")
     lines = scratch.save(keyed_lines(docs, doc_id, site, text), "lines")
     found = scratch.save(boilerplate(lines, sites, scratch), "boilerplate")
-    hit = _by_key(lines.select("doc_id", *KEY), found)
-    affected = hit[0].unionByName(hit[1]).groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("__bad"))
-    affected = scratch.save(affected.withColumnRenamed("doc_id", "__id"), "affected")
+    # Rows with one id and text are cleaned alike, and rows without id are told apart by their texts. The numbers of a text's bad lines
+    # are taken off as a set, so a text of many lines, many of them bad, costs no more than its length.
+    hit = _by_key(lines.select("doc_id", "mark", "n", *KEY), found)
+    affected = hit[0].unionByName(hit[1]).groupBy("doc_id", "mark").agg(F.collect_set("n").alias("__bad"))
+    affected = scratch.save(affected.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__text"), "__bad"), "affected")
     scratch.drop("often", "judged", "lines", "boilerplate")
     base = docs.drop(*[c for c in ("n_lines", "n_removed") if c in docs.columns])
     # one join strategy at every size: affected documents grow with the corpus
-    joined = base.join(affected.hint("merge"), base[doc_id].eqNullSafe(affected["__id"]), "left")
-    bad = lambda line: F.array_contains("__bad", F.struct(*line_key(line)))
-    kept = F.filter(split_lines(F.col(text)), lambda line: (F.btrim(line, F.lit(" \t\r")) == "") | ~bad(line))
-    kept = F.when(F.col("__bad").isNull(), split_lines(F.col(text))).otherwise(kept)
-    size = lambda a: F.coalesce(F.when(a.isNotNull(), F.size(a)), F.lit(0)).cast("int")
+    same = base[doc_id].eqNullSafe(affected["__id"]) & (F.xxhash64(base[text]) == affected["__text"])
+    joined = base.join(affected.hint("merge"), same, "left").withColumn("__lines", split_lines(F.col(text)))
+    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__bad")
+    kept = F.when(F.col("__bad").isNull(), F.col("__lines")).otherwise(F.transform(left, lambda n: F.get("__lines", n)))
+    size = lambda a: F.coalesce(F.when(F.col(a).isNotNull(), F.size(a)), F.lit(0)).cast("int")
     out = joined.withColumn("__kept", kept)
-    out = out.withColumns({"n_lines": size(split_lines(F.col(text))), "n_removed": size(split_lines(F.col(text))) - size(F.col("__kept")), text: F.array_join("__kept", "\n")})
+    out = out.withColumns({"n_lines": size("__lines"), "n_removed": size("__lines") - size("__kept"), text: F.array_join("__kept", "\n")})
     return out.select(*base.columns, "n_lines", "n_removed")
 
 

@@ -50,3 +50,11 @@ def test_sketches_merge(spark):
 
 def test_empty(spark):
     assert L.remove_boilerplate(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_many_bad_lines_of_a_document(spark):
+    """Documents of thousands of lines on many sites each, and many rows without id."""
+    rows = [(i, "\n".join(f"line {n}" for n in range(6000)) + f"\nown {i}", f"s{i}") for i in range(12)] + [(None, f"line 7\nown {k}", None) for k in range(50)]
+    got = L.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted(r["text"] for r in got) == sorted(t.rpartition("\n")[2] for _, t, _ in rows)
+    assert all(r["n_lines"] - r["n_removed"] == 1 for r in got)
