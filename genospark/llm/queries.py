@@ -40,9 +40,8 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scratch = Scratch(spark, "shards")
-    placed = sharding.shard_by_bytes(docs, 40, store=f"{scratch.root}/map")
+    docs = sharding.with_size(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    placed = sharding.shard_by_bytes(docs, 40)
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "virtual_slot")
 
 

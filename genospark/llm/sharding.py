@@ -1,8 +1,9 @@
 """Sharding by fixed virtual slots and a versioned slot-to-shard map.
 
 Every record hashes to one of thousands of virtual slots, for ever. Bytes are summed per slot; a map gives each slot a shard. Version 1
-deals slots out in turn; a rebalancing copies the newest version and moves single slots from heavy to light shards, so few records move.
-The map has one row per slot and version, whatever the size of the table, so it may be held by the driver and broadcast.
+deals slots out in turn; a rebalancing reads the newest stored version, moves single slots from heavy to light shards, so few records
+move, and stores the next version. The map has one row per slot and version, whatever the size of the table, so it may be held by the
+driver and broadcast. A record repeated so often that one slot could not hold its rows is dealt out over all slots row by row.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import heapq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from genospark.llm.storage import Scratch
+
 SLOTS = 8192
 
 
@@ -70,11 +73,26 @@ def text_crc32(text: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
 
 
-def with_virtual_slot(df: DataFrame, key: str = "doc_id", text: str = "text", n_slots: int = SLOTS) -> DataFrame:
-    """``df`` with size, text_crc32 and virtual_slot. Key and text checksum are hashed, so rows that share a null or repeated key spread out."""
-    return df.withColumns(
-        {"size": (F.coalesce(F.octet_length(df[text]), F.lit(0)) + 16).cast("long"), "text_crc32": text_crc32(df[text])}
-    ).withColumn("virtual_slot", F.pmod(F.xxhash64(key, "text_crc32", "size"), F.lit(n_slots)).cast("int"))
+def with_size(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with size (UTF-8 bytes of the text, null: none, plus 16) and text_crc32."""
+    return df.withColumns({"size": (F.coalesce(F.octet_length(df[text]), F.lit(0)) + 16).cast("long"), "text_crc32": text_crc32(df[text])})
+
+
+def with_virtual_slot(df: DataFrame, scratch: Scratch, key: str = "doc_id", n_slots: int = SLOTS) -> DataFrame:
+    """``df``, which has size and text_crc32, with virtual_slot, as a written table.
+
+    Key, checksum and size are hashed, so rows that share a null or repeated key spread out. Rows that are equal in all three are a record
+    repeated; one with more than twice a slot's share of the rows is hot (at most half as many as slots, so they may be broadcast), and
+    its rows are hashed with a number each, which the written table keeps.
+    """
+    record = [F.col(key), F.col("text_crc32"), F.col("size")]
+    counted = df.groupBy(*record).agg(F.count("*").alias("n"))
+    share = df.count() / n_slots
+    hot = scratch.save(counted.where(F.col("n") > max(2 * share, 100)).select(F.col(key).alias("__k"), F.col("text_crc32").alias("__c"), F.col("size").alias("__s"), F.lit(True).alias("__hot")), "hot")
+    same = F.col(key).eqNullSafe(F.col("__k")) & (F.col("text_crc32") == F.col("__c")) & (F.col("size") == F.col("__s"))
+    number = F.when(F.col("__hot"), F.monotonically_increasing_id())
+    marked = df.join(F.broadcast(hot), same, "left").withColumn("virtual_slot", F.pmod(F.xxhash64(*record, number), F.lit(n_slots)).cast("int"))
+    return scratch.save(marked.drop("__k", "__c", "__s", "__hot"), "slotted")
 
 
 def slot_weights(df: DataFrame, n_slots: int = SLOTS) -> tuple[list[int], list[int]]:
@@ -85,34 +103,54 @@ def slot_weights(df: DataFrame, n_slots: int = SLOTS) -> tuple[list[int], list[i
     return size, rows
 
 
-def map_table(spark: SparkSession, versions: list[list[int]]) -> DataFrame:
-    """The stored form of the map: version (from 1), virtual_slot, shard."""
-    rows = [(v + 1, slot, shard) for v, shards in enumerate(versions) for slot, shard in enumerate(shards)]
-    return spark.createDataFrame(rows, "version int, virtual_slot int, shard int").coalesce(1)
+def stored_map(spark: SparkSession, store: str) -> tuple[int, list[int]] | None:
+    """Number and shards (by virtual slot) of the newest version in the folder ``store``; None where it holds none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    table = spark.read.schema("version int, virtual_slot int, shard int").parquet(store)
+    version = table.agg(F.max("version").alias("v")).first()["v"]
+    return None if version is None else (version, [r["shard"] for r in table.where(F.col("version") == version).orderBy("virtual_slot").collect()])
+
+
+def store_map(spark: SparkSession, store: str, shard_of: list[int]) -> None:
+    """Add ``shard_of`` to the folder ``store`` as its next version: rows version (from 1), virtual_slot, shard. Older versions stay."""
+    version = (stored_map(spark, store) or (0, []))[0] + 1
+    rows = [(version, slot, shard) for slot, shard in enumerate(shard_of)]
+    spark.createDataFrame(rows, "version int, virtual_slot int, shard int").coalesce(1).write.mode("append").parquet(store)
 
 
 def shard_by_bytes(df: DataFrame, n_shards: int = 40, key: str = "doc_id", text: str = "text", n_slots: int = SLOTS, store: str | None = None) -> DataFrame:
     """All rows of ``df`` with size, text_crc32, law ('bytes'), shard, slot, grown_shard and virtual_slot.
 
     The size of a row is the UTF-8 bytes of its text (null: none) plus 16; shards differ in bytes by less than the smallest slot that
-    could still move. ``slot`` numbers the rows of each shard from 0 without a gap, by virtual slot, key and checksum. ``grown_shard``
-    is null: growing a map balanced by bytes is an edit of its own (``grown``). Empty tables give no rows; repeated rows each get a
-    slot; columns of the same names are replaced. ``store``: a folder for the map's versions.
+    could still move. A ``df`` with size and text_crc32 of its own needs no text. ``slot`` numbers the rows of each shard from 0 without a
+    gap, by virtual slot, key and checksum. ``grown_shard`` is null: growing a map balanced by bytes is an edit of its own (``grown``).
+    Empty tables give no rows; repeated rows each get a slot, and any number of them leaves the shards level; columns of the same names
+    are replaced. ``store``: the folder of the map's versions. Its newest one is rebalanced and the outcome added, if it differs; a folder
+    without versions gets version 1 first. A map for more shards than ``n_shards`` is an error.
     """
     spark = df.sparkSession
-    slotted = with_virtual_slot(df, key, text, n_slots)
+    scratch = Scratch(spark, "shards")
+    store = store or f"{scratch.root}/map"
+    slotted = with_virtual_slot(df if {"size", "text_crc32"} <= set(df.columns) else with_size(df, text), scratch, key, n_slots)
     size, rows = slot_weights(slotted, n_slots)
-    versions = [first_map(n_slots, n_shards)]
-    versions.append(rebalanced(versions[-1], size, n_shards))
-    if store:
-        map_table(spark, versions).write.mode("overwrite").parquet(store)
+    if stored_map(spark, store) is None:
+        store_map(spark, store, first_map(n_slots, n_shards))
+    _, current = stored_map(spark, store)
+    if len(current) != n_slots or max(current, default=0) >= n_shards:
+        raise ValueError("the stored map has other numbers of slots or shards")
+    edited = rebalanced(current, size, n_shards)
+    if edited != current:
+        store_map(spark, store, edited)
+    _, newest = stored_map(spark, store)
     before, entries = [0] * n_shards, []
-    for slot, shard in enumerate(versions[-1]):
+    for slot, shard in enumerate(newest):
         entries.append((slot, shard, before[shard]))
         before[shard] += rows[slot]
-    newest = spark.createDataFrame(entries, "__slot int, __shard int, __before long")
+    places = spark.createDataFrame(entries, "__slot int, __shard int, __before long")
     order = Window.partitionBy("virtual_slot").orderBy(F.col(key).asc_nulls_first(), "text_crc32", "size")
-    placed = slotted.withColumn("__rank", F.row_number().over(order)).join(F.broadcast(newest), F.col("virtual_slot") == F.col("__slot"))
+    placed = slotted.withColumn("__rank", F.row_number().over(order)).join(F.broadcast(places), F.col("virtual_slot") == F.col("__slot"))
     return placed.withColumns(
         {"law": F.lit("bytes"), "shard": F.col("__shard"), "slot": F.col("__before") + F.col("__rank") - 1, "grown_shard": F.lit(None).cast("int")}
     ).drop("__slot", "__shard", "__before", "__rank")

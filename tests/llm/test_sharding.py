@@ -46,3 +46,30 @@ def test_stored_versions(spark, tmp_path):
     sharding.shard_by_bytes(docs, 4, n_slots=64, store=str(tmp_path / "map")).collect()
     stored = spark.read.parquet(str(tmp_path / "map"))
     assert {r["version"]: r["count"] for r in stored.groupBy("version").count().collect()} == {1: 64, 2: 64}
+
+
+def test_stored_map_is_read_and_edited(spark, tmp_path):
+    store = str(tmp_path / "map")
+    docs = spark.createDataFrame([(i, "x" * i) for i in range(300)], "doc_id long, text string")
+    sharding.shard_by_bytes(docs, 4, n_slots=64, store=store).collect()
+    version, second = sharding.stored_map(spark, store)
+    more = docs.unionByName(spark.createDataFrame([(1000 + i, "y" * 700) for i in range(150)], docs.schema))
+    got = sharding.shard_by_bytes(more, 4, n_slots=64, store=store).collect()
+    again, third = sharding.stored_map(spark, store)
+    assert (version, again) == (2, 3) and second != third and sum(a != b for a, b in zip(second, third)) < 40
+    assert {r["virtual_slot"]: r["shard"] for r in got}.items() <= dict(enumerate(third)).items()
+    sharding.shard_by_bytes(more, 4, n_slots=64, store=store).collect()
+    assert sharding.stored_map(spark, store)[0] == 3  # level already
+    sharding.store_map(spark, store, sharding.grown(third, [1] * 64, 4))
+    assert max(sharding.stored_map(spark, store)[1]) == 4
+
+
+def test_a_record_repeated_beyond_a_shard(spark):
+    docs = spark.createDataFrame([(5, "same text")] * 3000 + [(None, None)] * 1500 + [(i, f"text {i}") for i in range(1500)], "doc_id long, text string")
+    got = sharding.shard_by_bytes(docs, 10, n_slots=256).collect()
+    load, slots, weight = [0] * 10, [[] for _ in range(10)], [0] * 256
+    for r in got:
+        load[r["shard"]] += r["size"]
+        weight[r["virtual_slot"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert max(load) - min(load) < min(w for w in weight if w) and all(sorted(s) == list(range(len(s))) for s in slots)
