@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from genospark.llm.components import components
 from genospark.llm.storage import Scratch
@@ -22,6 +23,7 @@ from genospark.llm.storage import Scratch
 TREES, LEAF, BLOCK = 8, 2000, 1024
 SAMPLE, SAMPLE_NUMBERS = 20_000, 4_000_000  # vectors, and numbers in them, that the trees are fitted to
 SPILL = 0.16  # of a node's standard deviation along the cut, to either side of it
+MARGIN = 1e-4  # under the threshold, for cosines in single precision
 DENSE = 0.45  # a cut with more of the sample than this in its spill band is none
 
 
@@ -92,7 +94,8 @@ def _unit(rows: pd.Series) -> np.ndarray:
 
 def _fitted(classes: DataFrame) -> tuple[dict[int, list[Tree]], int]:
     """Trees for each vector length, and the number of leaves."""
-    sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(64).collect()}
+    # lengths of few vectors are one leaf each and need no tree
+    sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count("*").alias("n")).where(F.col("n") > LEAF).orderBy("dim").collect()}
     forest, first = {}, 0
     for dim, n in sizes.items():
         most = min(SAMPLE, max(1, SAMPLE_NUMBERS // dim))
@@ -109,22 +112,31 @@ def _compare(cosine: float):
         leaf, _, _, bi, bj = key
         rows = rows.sort_values("rep", kind="stable")
         left, right = rows[rows["block"] == bi], rows[rows["block"] == bj]
-        x, y = _unit(left["vec"]), _unit(right["vec"])
-        if not len(x) or not len(y):
-            return pd.DataFrame({"rep": [], "links": [], "root": []}).astype("int64")
-        near = x @ y.T >= cosine
+        none = pd.DataFrame({"rep": [], "links": [], "root": []}).astype("int64")
+        if not len(left) or not len(right):
+            return none
+        x = _unit(left["vec"])
+        y = x if bi == bj else _unit(right["vec"])
+        # single precision, and a margin far over its error, find who may have a link; double precision decides
+        rough = x.astype(np.float32) @ y.astype(np.float32).T
+        if bi == bj:
+            np.fill_diagonal(rough, -1)
+        rough = rough >= cosine - MARGIN
+        a, b = np.flatnonzero(rough.any(axis=1)), np.flatnonzero(rough.any(axis=0))
+        if not len(a):
+            return none
+        left, right = left.iloc[a], right.iloc[b]
+        near = x[a] @ y[b].T >= cosine
         near &= left["rep"].to_numpy()[:, None] != right["rep"].to_numpy()[None, :]
         # a pair counts in the first leaf that its vectors share
-        a, b = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
-        if len(a):
-            earlier = [[[k for k in leaves if k < leaf] for leaves in side["leaves"].iloc[at]] for side, at in ((left, a), (right, b))]
-            number = {k: n for n, k in enumerate(sorted({k for side in earlier for own in side for k in own}))}
-            if number:
-                sets = [np.zeros((len(side), len(number)), np.float32) for side in earlier]
-                for matrix, side in zip(sets, earlier):
-                    for r, own in enumerate(side):
-                        matrix[r, [number[k] for k in own]] = 1
-                near[np.ix_(a, b)] &= ~((sets[0] @ sets[1].T) > 0)
+        earlier = [[[k for k in leaves if k < leaf] for leaves in side["leaves"]] for side in (left, right)]
+        number = {k: n for n, k in enumerate(sorted({k for side in earlier for own in side for k in own}))}
+        if number:
+            sets = [np.zeros((len(side), len(number)), np.float32) for side in earlier]
+            for matrix, side in zip(sets, earlier):
+                for r, own in enumerate(side):
+                    matrix[r, [number[k] for k in own]] = 1
+            near &= ~((sets[0] @ sets[1].T) > 0)
         reps = np.concatenate([left["rep"].to_numpy(), right["rep"].to_numpy()])
         n = len(left)
         links = np.concatenate([near @ right["c"].to_numpy(), near.T @ left["c"].to_numpy()])
@@ -154,18 +166,18 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, vec_id: str = "vec_id
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
-    base = vectors.select(vectors[vec_id].cast("long").alias("id"), vectors[label].alias("label"), vectors[vec].cast("array<double>").alias("vec"))
+    held = vectors.schema[vec].dataType
+    exact = held if isinstance(held, T.ArrayType) and isinstance(held.elementType, T.FloatType) else "array<double>"  # floats are no longer for being doubles
+    base = vectors.select(vectors[vec_id].cast("long").alias("id"), vectors[label].alias("label"), vectors[vec].cast(exact).alias("vec"))
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
-    norm = F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v)
+    norm = F.aggregate("vec", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
     good = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("vec").isNotNull() & F.forall("vec", finite) & (norm > 0) & (norm < float("inf"))
     hashes = [F.xxhash64("label", "vec").alias("h1"), F.xxhash64(F.lit("vector"), "vec", "label").alias("h2")]
-    marked = scratch.save(base.select("id", "label", "vec", F.coalesce(good, F.lit(False)).alias("good"), *hashes), "marked")
-    known = marked.where("good")
-    equal = scratch.save(known.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("c")), "equal")
-    first = equal.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "rep", "c")
-    classes = known.join(first, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("id") == F.col("rep")))
-    classes = classes.select("rep", "c", "label", "vec", F.size("vec").alias("dim"), "h1", "h2").dropDuplicates(["h1", "h2", "rep"]).drop("h1", "h2")
-    classes = scratch.save(classes, "classes")
+    marked = base.select("id", "label", "vec", F.coalesce(good, F.lit(False)).alias("good"), *hashes)
+    # equal vectors of a label meet in an aggregate; any of them stands for all
+    grouped = marked.where("good").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("c"), F.first("label").alias("label"), F.first("vec").alias("vec"))
+    equal = scratch.save(grouped.withColumn("dim", F.size("vec")), "equal")
+    classes = equal.select("rep", "c", "label", "vec", "dim", "h1", "h2")
     forest, end = _fitted(classes)
     shared = spark.sparkContext.broadcast(forest)  # bounded by SAMPLE: cuts of sampled vectors, and a direction for each level
 
@@ -185,8 +197,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, vec_id: str = "vec_id
                         leaves[r] += own
             yield batch.assign(leaves=leaves)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in classes.schema)
-    routed = classes.mapInPandas(route, f"{fields}, leaves array<int>")
+    wanted = classes.select("rep", "c", "label", "vec", "dim")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema)
+    routed = wanted.mapInPandas(route, f"{fields}, leaves array<int>")
     routed = scratch.save(routed, "routed")
     placed = routed.select("*", F.explode("leaves").alias("leaf"))
     sizes = routed.select("label", "dim", F.explode("leaves").alias("leaf")).groupBy("leaf", "label", "dim").agg(F.count("*").alias("n")).where("n > 1")
@@ -198,10 +211,10 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, vec_id: str = "vec_id
     found = scratch.save(compared.applyInPandas(_compare(cosine), "rep long, links long, root long"), "found")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links")).withColumnRenamed("rep", "r")
     parts = components(found.where("root <> rep").select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch)
-    whole = equal.join(counts, F.col("rep") == F.col("r"), "left").join(parts, F.col("rep") == parts["id"], "left")
+    whole = equal.select("h1", "h2", "rep", "c").join(counts, F.col("rep") == F.col("r"), "left").join(parts, F.col("rep") == parts["id"], "left")
     whole = whole.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), (F.coalesce("links", F.lit(0)) + F.col("c") - 1).alias("links"), F.coalesce("component", "rep").alias("part"))
     whole = scratch.save(whole, "whole")
-    scratch.drop("classes", "routed", "sizes")
+    scratch.drop("equal", "routed", "sizes")
     rows = marked.select("id", "good", "h1", "h2").join(whole, F.col("good") & (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")), "left")
     out = rows.select(F.col("id").alias("vec_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("part", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
