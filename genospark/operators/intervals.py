@@ -1,8 +1,8 @@
 """Interval operators over REGION tables (id, chr, pos1, pos2, strand); intervals are closed and bounds are signed.
 
 Overlap joins go through bins: each side is spread over the bins it touches, joined on (chr, bin), and a pair is kept in the bin where
-its intersection begins, so no pair is made twice and none needs a distinct. Wide intervals get coarser bins, level by level, so one that
-spans a chromosome touches a few bins only.
+its intersection begins, so no pair is made twice and none needs a distinct. Wide intervals get coarser bins, so one that spans a
+chromosome touches few; narrow ones wait for them in the coarser bins too, apart from each other.
 """
 
 from __future__ import annotations
@@ -12,14 +12,14 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bits of the bin width of each level; an interval goes to the first level on which it touches at most two bins.
-LEVELS = (10, 14, 18, 22, 26, 31)
+#: Bits of the bin width of each level; an interval's level is the first on which it is at most 16 bins wide.
+LEVELS = (10, 17, 24)
 
 
 def _level(width: Column) -> Column:
     out = F.lit(LEVELS[-1])
     for bits in reversed(LEVELS[:-1]):
-        out = F.when(width <= (1 << bits), bits).otherwise(out)
+        out = F.when(width <= (1 << bits + 4), bits).otherwise(out)
     return out
 
 
@@ -32,20 +32,21 @@ def _prefixed(df: DataFrame, mark: str, columns: tuple[str, str, str]) -> DataFr
 def pairs(queries: DataFrame, subjects: DataFrame, query_columns: tuple[str, str, str] = ("chr", "pos1", "pos2"), subject_columns: tuple[str, str, str] = ("chr", "pos1", "pos2")) -> DataFrame:
     """Every overlapping pair once: chr, pos1, pos2 (the intersection) and the rows as structs ``q`` and ``s``."""
     q, s = _prefixed(queries, "q", query_columns), _prefixed(subjects, "s", subject_columns)
-    # a pair meets on the coarser of its two levels, so each side lists its own level and the coarser ones that the other side has
-    q, s = q.withColumn("ql", _level(F.col("q2") - F.col("q1") + 1)), s.withColumn("sl", _level(F.col("s2") - F.col("s1") + 1))
-    found = q.select(F.lit(0), F.col("ql").alias("l")).unionAll(s.select(F.lit(1), F.col("sl").alias("l"))).distinct().collect()  # at most 12 rows
-    present = [{level for side, level in found if side == n} for n in (0, 1)]
+    # A pair meets on the coarser of its two levels: in an even cell if that is the query's, in an odd one if the subject's is coarser. So a
+    # query lists its own even cell and the odd ones of coarser levels, a subject the even ones from its own on and its own odd one.
     both = []
-    for mark, side, theirs in (("q", q, present[1]), ("s", s, present[0])):
-        own = F.col(f"{mark}l")
-        wanted = F.filter(F.array(*[F.lit(b) for b in LEVELS]), lambda b: ((b > own) & b.isin(*theirs, -1)) | ((b == own) & (b >= min(theirs, default=99))))
-        spread = side.withColumn("level", F.explode(wanted))
-        both.append(spread.withColumn("bin", F.explode(F.expr(f"sequence(shiftright({mark}1, level), shiftright({mark}2, level))"))))
+    for mark, side in (("q", q), ("s", s)):
+        own = _level(F.col(f"{mark}2") - F.col(f"{mark}1") + 1)
+        lists = {b: [2 * b] + [2 * c + 1 for c in LEVELS if c > b] if mark == "q" else [2 * c for c in LEVELS if c >= b] + [2 * b + 1] * (b > LEVELS[0]) for b in LEVELS}
+        cells = F.lit(None)
+        for b in LEVELS:
+            cells = F.when(own == b, F.array(*map(F.lit, lists[b]))).otherwise(cells)
+        spread = side.withColumn("cell", F.explode(cells))
+        both.append(spread.withColumn("bin", F.explode(F.expr(f"sequence(shiftright({mark}1, shiftright(cell, 1)), shiftright({mark}2, shiftright(cell, 1)))"))))
     start, end = F.greatest("q1", "s1"), F.least("q2", "s2")
-    met = both[0].join(both[1], ["chr", "level", "bin"])
-    met = met.where((F.col("level") == F.greatest("ql", "sl")) & (F.col("q1") <= F.col("s2")) & (F.col("s1") <= F.col("q2")))
-    met = met.where(F.col("bin") == F.expr("shiftright(greatest(q1, s1), level)"))
+    met = both[0].join(both[1], ["chr", "cell", "bin"])
+    met = met.where((F.col("q1") <= F.col("s2")) & (F.col("s1") <= F.col("q2")))
+    met = met.where(F.col("bin") == F.expr("shiftright(greatest(q1, s1), shiftright(cell, 1))"))
     return met.select("chr", start.cast("int").alias("pos1"), end.cast("int").alias("pos2"), "q", "s")
 
 
