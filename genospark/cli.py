@@ -22,8 +22,11 @@ def main(argv: list[str] | None = None) -> None:
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("genospark").getOrCreate()
     ship(spark)
-    reads = correct.checked(readers.read_fastq(spark, args.input))
+    reads = readers.read_fastq(spark, args.input)
+    # mates may share a name, which correction takes for one read
+    reads = correct.checked(reads.withColumn("name", F.concat_ws("\x01", "name", F.monotonically_increasing_id().cast("string"))))
     out = correct.correct(reads, correct.train(reads, args.k))
+    out = out.withColumn("name", F.substring_index("name", "\x01", 1))
     if args.command == "assemble":
         out = assemble.assemble(out.withColumn("group", F.lit("all")), assemble.Options(**({"k": args.k} if args.k else {})))
         out = out.select("name", F.lit("").alias("comment"), "seq", F.lit(None).cast("string").alias("qual"))

@@ -1,4 +1,4 @@
-"""The reference dictionary (id, name, length): a small table, broadcast in lookups."""
+"""The reference dictionary (id, name, length): a table that Spark broadcasts in lookups where its size allows."""
 
 from __future__ import annotations
 
@@ -33,16 +33,12 @@ def header_text(dictionary: DataFrame) -> str:
     return "".join(r["line"] + "\n" for r in header_lines(dictionary).orderBy("id").collect())
 
 
-def _small(dictionary: DataFrame) -> DataFrame:
-    return F.broadcast(dictionary)  # one row per reference sequence
-
-
 def with_id(df: DataFrame, dictionary: DataFrame, name: str, to: str, retry_prefix: bool = False) -> DataFrame:
     """``df`` with the id of ``name``, -1 if unknown. ``retry_prefix``: plain chromosome names are tried again as chr + name."""
-    ids = _small(dictionary.select(F.col("name").alias("__name"), F.col("id").alias(to)))
+    ids = dictionary.select(F.col("name").alias("__name"), F.col("id").alias(to))
     out = df.join(ids, F.col(name) == F.col("__name"), "left").drop("__name")
     if retry_prefix:
-        again = _small(dictionary.select(F.col("name").alias("__name"), F.col("id").alias("__again")))
+        again = dictionary.select(F.col("name").alias("__name"), F.col("id").alias("__again"))
         tried = F.when(F.col(to).isNull() & F.col(name).rlike("^[0-9XY]+$"), F.concat(F.lit("chr"), F.col(name)))
         out = out.join(again, tried == F.col("__name"), "left").withColumn(to, F.coalesce(to, "__again")).drop("__name", "__again")
     return out.withColumn(to, F.coalesce(F.col(to), F.lit(-1)))
@@ -50,14 +46,14 @@ def with_id(df: DataFrame, dictionary: DataFrame, name: str, to: str, retry_pref
 
 def with_name(df: DataFrame, dictionary: DataFrame, chrom: str = "chr", to: str = "name", fallback: Column | None = None) -> DataFrame:
     """``df`` with the name of each id: empty below 0, the dictionary's, else the number as text (or ``fallback``)."""
-    names = _small(dictionary.select(F.col("id").alias("__id"), F.col("name").alias("__n")))
+    names = dictionary.select(F.col("id").alias("__id"), F.col("name").alias("__n"))
     other = F.col(chrom).cast("string") if fallback is None else fallback
     out = df.join(names, F.col(chrom) == F.col("__id"), "left")
     return out.withColumn(to, F.when(F.col(chrom) < 0, "").otherwise(F.coalesce("__n", other))).drop("__id", "__n")
 
 
 def with_region_name(df: DataFrame, dictionary: DataFrame, to: str = "name") -> DataFrame:
-    names = _small(dictionary.select(F.col("id").alias("__id"), F.col("name").alias("__n")))
+    names = dictionary.select(F.col("id").alias("__id"), F.col("name").alias("__n"))
     return df.join(names, F.col("chr") == F.col("__id"), "left").withColumn(to, F.coalesce("__n", R.default_name())).drop("__id", "__n")
 
 

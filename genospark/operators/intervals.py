@@ -103,7 +103,7 @@ def count_contained(queries: DataFrame, subjects: DataFrame) -> DataFrame:
     return queries.select(F.col("id").alias("query_id")).join(counts, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-#: Positions to a block of a sweep: 32-bit coordinates make at most 2048 blocks a chromosome, so a table of blocks may be broadcast.
+#: Positions to a block of a sweep: 32-bit coordinates make at most 2048 blocks a chromosome.
 SWEEP_BITS = 20
 
 
@@ -118,7 +118,7 @@ def swept(events: DataFrame, *values: str) -> DataFrame:
     before = [F.coalesce(F.sum(v).over(by_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"before_{v}") for v in values]
     totals = totals.select("chr", "block", F.lead("first").over(by_block).alias("next"), *before)
     inside = Window.partitionBy("chr", "block").orderBy("p")
-    joined = summed.join(F.broadcast(totals), ["chr", "block"])
+    joined = summed.join(totals, ["chr", "block"])  # on the keys of the window that follows, so one shuffle serves both
     sums = [(F.col(f"before_{v}") + F.sum(v).over(inside)).alias(v) for v in values]
     return joined.select("chr", "p", F.coalesce(F.lead("p").over(inside), F.col("next")).alias("q"), *sums)
 
@@ -143,12 +143,22 @@ def merged(df: DataFrame, keys: list[str] | None = None, touching: bool = False)
 
 
 def merged_at_scale(df: DataFrame, bits: int = 24, touching: bool = False) -> DataFrame:
-    """``merged`` by chromosome for tables too large for one task per chromosome: merged within blocks of 2 ** bits positions first.
+    """``merged`` by chromosome for tables too large for one task per chromosome.
 
-    An interval is merged in the block where it starts; what is left, at most the islands of each block, is merged again by chromosome.
+    Intervals are merged within the block of 2 ** bits positions where they start. Blocks then learn, from one row each, how far what
+    began before them reaches and how many islands did; an interval within that reach belongs to the last of those.
     """
-    block = df.withColumn("block", F.shiftright(F.col("pos1"), bits))
-    return merged(merged(block, ["chr", "block"], touching).select("chr", "pos1", "pos2"), ["chr"], touching)
+    islands = merged(df.withColumn("block", F.shiftright(F.col("pos1"), bits)), ["chr", "block"], touching)
+    by_block, before = Window.partitionBy("chr").orderBy("block"), (Window.unboundedPreceding, -1)
+    reach = islands.groupBy("chr", "block").agg(F.max("pos2").alias("end"))
+    reach = reach.select("chr", "block", F.max("end").over(by_block.rowsBetween(*before)).alias("reach"))
+    fresh = F.when(F.col("reach").isNull() | (F.col("pos1") > F.col("reach") + (1 if touching else 0)), 1).otherwise(0)
+    marked = islands.join(reach, ["chr", "block"]).select("chr", "block", "pos1", "pos2", fresh.alias("fresh"))
+    counts = marked.groupBy("chr", "block").agg(F.sum("fresh").alias("n"))
+    counts = counts.select("chr", "block", F.coalesce(F.sum("n").over(by_block.rowsBetween(*before)), F.lit(0)).alias("earlier"))
+    inside = Window.partitionBy("chr", "block").orderBy("pos1").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = marked.join(counts, ["chr", "block"]).withColumn("island", F.col("earlier") + F.sum("fresh").over(inside))
+    return numbered.groupBy("chr", "island").agg(F.min("pos1").alias("pos1"), F.max("pos2").alias("pos2")).drop("island")
 
 
 def concatenated(*tables: DataFrame) -> DataFrame:
@@ -183,23 +193,38 @@ def shuffled(df: DataFrame, seed: int) -> DataFrame:
     return df.orderBy(F.rand(seed))
 
 
+def _beside(df: DataFrame, column: str, following: bool, per_chr: bool) -> DataFrame:
+    """``df`` with ``column`` of the next or the previous row, by chr, pos1, pos2 and id, as ``__beside``; null at the end.
+
+    Rows look within their block of positions, and blocks, of one row each, over their borders.
+    """
+    order = F.struct("pos1", "pos2", "id")
+    rows = df.withColumn("__block", F.shiftright(F.col("pos1"), SWEEP_BITS))
+    edge = (F.min_by if following else F.max_by)(column, order).alias("__edge")
+    blocks = rows.groupBy("chr", "__block").agg(edge)
+    beside = F.lead if following else F.lag
+    over = (Window.partitionBy("chr") if per_chr else Window.partitionBy(F.lit(1))).orderBy("chr", "__block")
+    blocks = blocks.select("chr", "__block", beside("__edge").over(over).alias("__over"))
+    inside = Window.partitionBy("chr", "__block").orderBy("pos1", "pos2", "id")
+    found = rows.join(blocks, ["chr", "__block"]).withColumn("__beside", F.coalesce(beside(column).over(inside), F.col("__over")))
+    return found.select(*df.columns, "__beside")
+
+
 def stretched_right(df: DataFrame, top: int = 0, per_chr: bool = False) -> DataFrame:
     """Each end moved to just before the next start, over chromosome borders unless ``per_chr``; the last end becomes ``top`` if above 0.
 
-    A ``top`` below the last end is an error. Over chromosome borders the table is one ordered sequence, in one task.
+    A ``top`` below the last end is an error.
     """
-    w = (Window.partitionBy("chr") if per_chr else Window.partitionBy(F.lit(1))).orderBy("chr", "pos1", "pos2", "id")
-    following = F.lead("pos1").over(w)
+    following = F.col("__beside")
     last = F.when((F.lit(top) > 0) & (F.col("pos2") > top), F.raise_error(F.lit("the last region ends beyond the limit")).cast("int")).otherwise(F.lit(top) if top > 0 else F.col("pos2"))
-    return df.withColumn("pos2", F.when(following.isNotNull(), following - 1).otherwise(last).cast("int"))
+    return _beside(df, "pos1", True, per_chr).withColumn("pos2", F.when(following.isNotNull(), following - 1).otherwise(last).cast("int")).drop("__beside")
 
 
 def stretched_left(df: DataFrame, bottom: int = -1, per_chr: bool = False) -> DataFrame:
     """Each start moved to just after the end before it; the first start becomes ``bottom`` if that is 0 or more. Above it is an error."""
-    w = (Window.partitionBy("chr") if per_chr else Window.partitionBy(F.lit(1))).orderBy("chr", "pos1", "pos2", "id")
-    before = F.lag("pos2").over(w)
+    before = F.col("__beside")
     first = F.when((F.lit(bottom) >= 0) & (F.col("pos1") < bottom), F.raise_error(F.lit("the first region starts before the limit")).cast("int")).otherwise(F.lit(bottom) if bottom >= 0 else F.col("pos1"))
-    return df.withColumn("pos1", F.when(before.isNotNull(), before + 1).otherwise(first).cast("int"))
+    return _beside(df, "pos2", False, per_chr).withColumn("pos1", F.when(before.isNotNull(), before + 1).otherwise(first).cast("int")).drop("__beside")
 
 
 def padded(df: DataFrame, pad: int) -> DataFrame:
@@ -271,7 +296,7 @@ def depth_at(runs: DataFrame, points: DataFrame) -> DataFrame:
 
 def bedgraph(runs: DataFrame, names: DataFrame) -> DataFrame:
     """Text lines name, start, end, depth."""
-    joined = runs.join(F.broadcast(names.select(F.col("id").alias("chr"), "name")), "chr", "left")
+    joined = runs.join(names.select(F.col("id").alias("chr"), "name"), "chr", "left")
     name = F.coalesce("name", F.col("chr").cast("string"))
     return joined.select(F.concat_ws("\t", name, F.col("start").cast("string"), F.col("end").cast("string"), F.col("depth").cast("string")).alias("line"))
 
@@ -295,12 +320,16 @@ def overlapping_reads(reads: DataFrame, regions: DataFrame, mate_linked: bool =
 
 
 def scan_regions(reads: DataFrame, regions: DataFrame, distinct: bool = False) -> DataFrame:
-    """Reads by region in the regions' order: a read that k regions hit comes k times, with region_id; once if ``distinct``."""
+    """Reads by region in the regions' order: a read that k regions hit comes k times, with region_id. ``distinct``: each row that any
+    region hits once; equal rows all stay."""
     from genospark.functions import flags as A
 
+    if distinct:
+        return overlapping_reads(reads, regions)
+
     spans = reads.withColumns({"__p1": F.col("pos"), "__p2": A.position_end()})
     found = pairs(spans, regions, ("tid", "__p1", "__p2")).select(F.col("s.id").alias("region_id"), "q.*").drop("__p1", "__p2")
-    return found.drop("region_id").distinct() if distinct else found
+    return found
 
 
 def sampled_by_regions(reads: DataFrame, fractions: DataFrame, seed: int = 999) -> DataFrame:

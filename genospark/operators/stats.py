@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from genospark.functions import cigar as C
 from genospark.functions import flags as A
 from genospark.functions import sequence as S
+from genospark.operators.intervals import swept
 
 INTERCHROMOSOMAL = 250_000_000
 
@@ -92,30 +90,23 @@ def read_group_table(reads: DataFrame) -> DataFrame:
 def equal_frequency_bins(values: DataFrame, bins: int, min_width: int, value: str = "value") -> DataFrame:
     """Bins (lo, hi, n) of about equal counts and at least ``min_width`` values wide; the value INTERCHROMOSOMAL has a bin of its own.
 
-    Distinct values are counted in a distributed aggregation and summed by range, so the greedy pass over them, which depends on order,
-    reads a running total per distinct value. Bins end where the running total passes the next multiple of total / bins.
+    A bin ends before the first value at which it holds total / bins values or more and is wide enough. Running totals of the distinct
+    values come from a sweep; each of at most ``bins`` ends, then, is one look-up by the driver, and no task holds the values in order.
     """
-    plain = values.where(F.col(value) != INTERCHROMOSOMAL).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    plain = values.where(F.col(value) != INTERCHROMOSOMAL)
     special = values.where(F.col(value) == INTERCHROMOSOMAL).agg(F.count("*").alias("n")).where("n > 0")
-    total = plain.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    goal = max(1, -(-total // bins))
-
-    def greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out, low, high, count = [], None, None, 0
-        for batch in batches:
-            for v, n in zip(batch["v"], batch["n"]):
-                if low is not None and count >= goal and v - low >= min_width:
-                    out.append((low, v - 1, count))
-                    low, count = None, 0
-                low = v if low is None else low
-                high, count = v, count + n
-        if low is not None:
-            out.append((low, high, count))
-        yield pd.DataFrame(out, columns=["lo", "hi", "n"])
-
-    ordered = plain.orderBy("v").coalesce(1)
+    summed = swept(plain.select(F.lit(0).alias("chr"), F.col(value).cast("long").alias("p"), F.lit(1).cast("long").alias("n")), "n").persist()
+    ends = summed.agg(F.min("p").alias("low"), F.max("p").alias("high"), F.max("n").alias("total")).first()
+    found, low, before = [], ends["low"], 0
+    goal = max(1, -(-(ends["total"] or 0) // bins))
+    while low is not None:  # the total up to the value that ends a bin, and the next value, which begins one
+        full = summed.where((F.col("n") - before >= goal) & (F.col("q") - low >= min_width)).agg(F.min(F.struct("n", "q")).alias("m")).first()["m"]
+        found.append((low, ends["high"], ends["total"] - before) if full is None else (low, full["q"] - 1, full["n"] - before))
+        low, before = (None, 0) if full is None else (full["q"], full["n"])
+    summed.unpersist()
+    made = values.sparkSession.createDataFrame(found, "lo long, hi long, n long")
     own = F.lit(INTERCHROMOSOMAL).cast("long")
-    return ordered.mapInPandas(greedy, "lo long, hi long, n long").unionByName(special.select(own.alias("lo"), own.alias("hi"), "n"))
+    return made.unionByName(special.select(own.alias("lo"), own.alias("hi"), "n"))
 
 
 def quantile_bins(values: DataFrame, bins: int, value: str = "value") -> DataFrame:

@@ -6,6 +6,7 @@ from __future__ import annotations
 import gzip
 import re
 import struct
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -160,11 +161,11 @@ _SIZE = {"A": "c", "c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "
 
 def bam_dictionary(data: bytes) -> tuple[str, list[tuple[str, int]], int]:
     """Header text, (name, length) entries, and where the records begin, of uncompressed BAM bytes."""
-    if data[:4] != b"BAM\1":
+    if data[:4] != b"BAM\1"[: len(data)] or not data:
         raise ValueError("not a BAM file")
     (n,) = struct.unpack_from("<i", data, 4)
+    (refs,) = struct.unpack_from("<i", data, 8 + n)  # fails where the header text is cut short
     text, at = data[8 : 8 + n].rstrip(b"\0").decode("utf-8"), 8 + n
-    (refs,) = struct.unpack_from("<i", data, at)
     at, entries = at + 4, []
     for _ in range(refs):
         (n,) = struct.unpack_from("<i", data, at)
@@ -233,9 +234,37 @@ def read_bam(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, READ)
 
 
+def _bam_head(spark: SparkSession, path: str) -> tuple[str, list[tuple[str, int]]]:
+    """Header text and entries of the first file at ``path``, from as many bytes of its beginning as they take."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    status = files.getFileStatus(root)
+    if status.isDirectory():
+        status = min((x for x in files.listStatus(root) if not x.getPath().getName().startswith(("_", "."))), key=lambda x: x.getPath().getName())
+    stream, data, packer = files.open(status.getPath()), b"", zlib.decompressobj(31)
+    try:
+        while True:
+            raw = bytes(stream.readNBytes(1 << 16))
+            ended = not raw
+            while raw:
+                data += packer.decompress(raw)
+                raw = packer.unused_data
+                packer = zlib.decompressobj(31) if packer.eof else packer
+            try:
+                return bam_dictionary(data)[:2]
+            except struct.error:
+                if ended:
+                    raise ValueError("not a BAM file") from None
+    finally:
+        stream.close()
+
+
+def bam_header_text(spark: SparkSession, path: str) -> str:
+    return _bam_head(spark, path)[0]
+
+
 def read_bam_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    content = spark.read.format("binaryFile").load(path).select("content").first()["content"]
-    return D.from_pairs(spark, bam_dictionary(gzip.decompress(content))[1])
+    return D.from_pairs(spark, _bam_head(spark, path)[1])
 
 
 # --- reference genome ---
