@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from genospark.functions import flags as A
@@ -26,6 +26,16 @@ def gapped(seq: str, cigar: str) -> str:
     return out
 
 
+def gapped_sequence(seq: Column | str, cigar: Column | str) -> Column:
+    """``gapped`` as a column: pieces of the sequence by the operations of the CIGAR."""
+    seq, cigar = (F.col(c) if isinstance(c, str) else c for c in (seq, cigar))
+    cuts = F.transform(F.regexp_extract_all(cigar, F.lit("([0-9]+[MIDS])"), 1), lambda t: F.struct(F.substring(t, 1, F.length(t) - 1).cast("int").alias("n"), F.right(t, F.lit(1)).alias("op")))
+    start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
+    piece = lambda a, x: F.when(x["op"] == "M", F.substring(seq, a["at"], x["n"])).when(x["op"] == "D", F.repeat(F.lit("-"), x["n"])).otherwise("")
+    moved = lambda a, x: (a["at"] + F.when(x["op"].isin("M", "I", "S"), x["n"]).otherwise(0)).cast("int")
+    return F.aggregate(cuts, start, lambda a, x: F.struct(moved(a, x).alias("at"), F.concat(a["out"], piece(a, x)).alias("out")))["out"]
+
+
 def packed_lines(reads: list[tuple[int, str, str]], width: int, pad: int = 5) -> list[str]:
     """(position, sequence, note) entries by position, each on the first line with room; the notes follow each line."""
     lines: list[list[tuple[int, str, str]]] = []

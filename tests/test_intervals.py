@@ -98,5 +98,8 @@ def test_queries_over_all_regions(spark):
     assert QUERIES["overlap_same_interval_all"](spark, folder).where("id_a % 7 <> 0").count() > 0
     assert QUERIES["multi_region_scan_all"](spark, folder).where("region_id >= 50").count() > 0
     assert QUERIES["concat_regions_all"](spark, folder).where("id is null").count() == 6000
-    for name in ("intersection", "region_semi_matelink"):
-        assert QUERIES[f"{name}_all"](spark, folder).count() > QUERIES[name](spark, folder).count()
+    from genospark.plans.fixtures import Fixtures
+
+    t = Fixtures(spark, folder)
+    assert QUERIES["intersection_all"](spark, folder).count() > I.intersection(t.regions, t.regions.where("id % 5 = 0")).count()
+    assert QUERIES["region_semi_matelink_all"](spark, folder).count() > I.overlapping_reads(t.reads, t.regions.where("id % 3 = 0"), mate_linked=True).count()
