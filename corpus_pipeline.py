@@ -26,13 +26,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that stand on many sources; n_chars follows the text."""
+    """All documents, without lines that stand on many sources; n_chars follows the text.
+
+    A null text stays null, a text of such lines alone becomes empty, and both stay in the table. Documents without source are cleaned but
+    count for no line. Repeated rows are each cleaned; an empty table gives an empty one.
+    """
     ship(spark)
     return line_dedup.remove_boilerplate(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest doc_id; of repeated rows, one."""
+    """One document of each group of near duplicates, that with the smallest doc_id; of repeated rows, one.
+
+    Documents without text or words are like no other and stay, as do rows without doc_id. Of rows that share a kept doc_id, each text
+    stays once. An empty table gives an empty one.
+    """
     ship(spark)
     kept = setsketch_dedup.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
     chosen = docs.join(kept.hint("merge"), docs["doc_id"] == F.col("__id")).drop("__id").dropDuplicates(["doc_id", "text"])
@@ -40,14 +48,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark.
+
+    Null and empty texts stay, repeated rows and rows without doc_id are judged each for itself, and an empty table, of documents or of the
+    benchmark, takes nothing away.
+    """
     ship(spark)
     bound_batches(spark)
     return decontamination.clean_rows(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and input_ids of each document."""
+    """doc_id, lang, source, n_tokens and input_ids of each document.
+
+    Null and empty texts have no ids and 0 tokens; every row stays, repeated ones and those with nulls too; an empty table gives an empty one.
+    """
     ship(spark)
     bound_batches(spark)
     ids = bpe_codec.encoded(docs["text"], vocabulary(bpe_codec.VOCABULARY)).alias("input_ids")
