@@ -25,7 +25,7 @@ from genospark.llm.storage import Scratch
 ROWS, BANDS = 5, 32  # a pair at similarity 0.8 meets in no band with probability (1 - 0.8 ** 5) ** 32 = 3e-6
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2  # b, a and q of the sketch: two bytes a register
 SLACK = 0.18  # under the threshold, for the estimate: more than 5 standard errors of 160 registers
-BLOCK = 250_000  # shingles a side of a block
+BLOCK, BLOCK_SETS = 250_000, 500  # shingles and sets a side of a block, about
 _M = ROWS * BANDS
 _rng = np.random.default_rng(20_240_229)
 _XOR = _rng.integers(0, 2**64, _M, dtype=np.uint64)
@@ -152,8 +152,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
 def _across_components(across: DataFrame, reps: DataFrame, texts: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame:
     """Links between different parts within each leader's company: (a, b).
 
-    ``across`` has lead, id, part and main. Documents outside the main part meet all others in blocks of about BLOCK shingles a side, so
-    a task's work is bounded and no row is made for a pair; of a document's links to one part, one is returned, which joins the parts.
+    ``across`` has lead, id, part and main. Documents outside the main part meet all others in blocks of about BLOCK shingles or BLOCK_SETS
+    sets a side, so a task's work is bounded and no row is made for a pair; of a document's links to one part, one is returned, which joins the parts.
     """
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,8 +183,9 @@ def _across_components(across: DataFrame, reps: DataFrame, texts: DataFrame, scr
 
     sized = across.join(reps.select("id", "n"), "id")
     is_minor = F.col("part") != F.col("main")
-    blocks = lambda total: F.ceil(F.coalesce(total, F.lit(0)) / BLOCK).cast("int")
-    totals = sized.groupBy("lead").agg(blocks(F.sum(F.when(is_minor, F.col("n")))).alias("gm"), blocks(F.sum("n")).alias("go"))
+    weight = F.greatest(F.col("n") / BLOCK, F.lit(1 / BLOCK_SETS))
+    blocks = lambda total: F.ceil(F.coalesce(total, F.lit(0.0))).cast("int")
+    totals = sized.groupBy("lead").agg(blocks(F.sum(F.when(is_minor, weight))).alias("gm"), blocks(F.sum(weight)).alias("go"))
     dealt = sized.join(scratch.save(totals, "totals"), "lead")  # both sides come from shuffles, so a large company's rows can be split
     sides = []
     for minor, own, others in ((True, "gm", "go"), (False, "go", "gm")):
