@@ -18,12 +18,17 @@ UNITIGS = "group string, id int, name string, seq string, reads int, depth doubl
 class Options:
     k: int = 31
     min_count: int = 2
-    min_overlap: int = 30
-    aggressive_trim: bool = False
-    simplify_bubbles: bool = False
-    drop_ratio: float = 0.7
+    max_count: int | None = None  # k-mers seen more often, repeats, are left out
+    min_overlap: int | None = None  # bases that neighbours share at least: k is raised to one more
+    aggressive_trim: bool = False  # weak branches that end soon go
+    simplify_bubbles: bool = False  # weak branches that soon join the graph again go
+    drop_ratio: float = 0.7  # a branch is weak below 1 - drop_ratio of the strongest one beside it
     min_reads: int = 1
 
+    @property
+    def length(self) -> int:
+        return max(self.k, (self.min_overlap or 0) + 1)
+
     def with_coverage(self, kcov: float) -> Options:
         """Thresholds that follow the k-mer coverage."""
         return replace(self, min_count=max(self.min_count, int(kcov * 0.1 + 0.499)))
@@ -35,14 +40,14 @@ def _canonical(kmer: str) -> str:
 
 def unitigs(reads: list[str], options: Options) -> list[tuple[str, int, float, list[tuple[int, bool, bool]]]]:
     """(sequence, reads, mean k-mer depth, links) of the maximal unbranched paths, longest first."""
-    k = options.k
+    k = options.length
     counts: Counter[str] = Counter()
     for read in reads:
         read = read.upper()
         counts.update(_canonical(read[i : i + k]) for i in range(len(read) - k + 1) if "N" not in read[i : i + k])
-    solid = {m for m, n in counts.items() if n >= options.min_count}
+    solid = {m for m, n in counts.items() if options.min_count <= n <= (options.max_count or n)}
     if options.simplify_bubbles or options.aggressive_trim:
-        solid = _without_weak_branches(solid, counts, options.drop_ratio)
+        solid = _without_weak_branches(solid, counts, options)
 
     def after(kmer: str) -> list[str]:
         return [m for m in (kmer[1:] + b for b in "ACGT") if _canonical(m) in solid]
@@ -83,15 +88,31 @@ def unitigs(reads: list[str], options: Options) -> list[tuple[str, int, float, l
     return [u for u in out if u[1] >= options.min_reads]
 
 
-def _without_weak_branches(solid: set[str], counts: Counter, ratio: float) -> set[str]:
-    """At each branch, edges much rarer than the strongest one go."""
-    drop = set()
+def _without_weak_branches(solid: set[str], counts: Counter, options: Options) -> set[str]:
+    """The k-mers without those of weak branches of at most 2 k k-mers, as the options ask: dead ends, and ways that join the graph again."""
+    after = lambda kmer: [m for m in (kmer[1:] + b for b in "ACGT") if _canonical(m) in solid]
+    drop: set[str] = set()
     for m in solid:
         for kmer in (m, reverse_complement(m)):
-            branches = [_canonical(kmer[1:] + b) for b in "ACGT" if _canonical(kmer[1:] + b) in solid]
-            if len(branches) > 1:
-                top = max(counts[b] for b in branches)
-                drop.update(b for b in branches if counts[b] < (1 - ratio) * top)
+            branches = after(kmer)
+            top = max((counts[_canonical(b)] for b in branches), default=0)
+            for branch in branches:
+                if counts[_canonical(branch)] >= (1 - options.drop_ratio) * top:
+                    continue
+                path, wanted = [branch], False
+                while len(path) <= 2 * options.length:
+                    following = after(path[-1])
+                    if not following:
+                        wanted = options.aggressive_trim
+                        break
+                    if len(following) > 1:
+                        break
+                    if len(after(reverse_complement(following[0]))) > 1:
+                        wanted = options.simplify_bubbles
+                        break
+                    path.append(following[0])
+                if wanted:
+                    drop.update(map(_canonical, path))
     return solid - drop
 
 

@@ -138,3 +138,20 @@ def test_whole_table_in_order(spark):
     for name, columns in (("sorted_by_position", ("tid", "pos", "qname")), ("sorted_by_mate", ("mtid", "mpos", "qname"))):
         found = [tuple(r[c] for c in columns) for r in QUERIES[name](spark, folder).collect()]
         assert len(found) == 6000 and found == sorted(found)
+
+
+def test_assembly_options():
+    """A dead end and a bubble, each weak, go by the option that names them; repeats and short overlaps by theirs."""
+    main = bases(140, 3)
+    other = "A" if main[70] != "A" else "C"
+    reads = [main] * 12 + [main[:70] + other + main[71:]] * 2 + [main[:35] + ("G" if main[35] != "G" else "T")] * 2
+
+    def found(**options):
+        return {s for s, *_ in assemble.unitigs(reads, assemble.Options(k=21, **options))}
+
+    whole = {main, align.reverse_complement(main)}
+    assert len(found()) > len(found(aggressive_trim=True)) > 1 and len(found()) > len(found(simplify_bubbles=True)) > 1
+    assert len(found(aggressive_trim=True, simplify_bubbles=True)) == 1 and found(aggressive_trim=True, simplify_bubbles=True) <= whole
+    assert found(aggressive_trim=True) != found(simplify_bubbles=True)
+    assert found(max_count=2) and not found(max_count=2) & whole
+    assert all(len(s) >= 41 for s in found(min_overlap=40))
