@@ -8,6 +8,7 @@ driver and broadcast. A record repeated so often that one slot could not hold it
 
 from __future__ import annotations
 
+import bisect
 import heapq
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,9 +24,24 @@ def first_map(n_slots: int, n_shards: int) -> list[int]:
     return [slot % n_shards for slot in range(n_slots)]
 
 
+def _exchange(heavy: list[int], light: list[int], weight: list[int], gap: int) -> tuple[int | None, int | None]:
+    """The slots of two shards whose exchange moves nearest to half the gap, more than nothing and less than all of it; else nothing."""
+    order = sorted(light, key=lambda s: (weight[s], s))
+    weights, best = [weight[s] for s in order], None
+    for slot in heavy:
+        at = bisect.bisect_left(weights, weight[slot] - gap / 2)
+        for k in range(max(at - 1, 0), min(at + 1, len(order))):
+            moved = weight[slot] - weights[k]
+            if 0 < moved < gap:
+                best = min(best or (gap, 0, 0), (abs(gap - 2 * moved), slot, order[k]))
+    return best[1:] if best else (None, None)
+
+
 def rebalanced(shard_of: list[int], weight: list[int], n_shards: int) -> list[int]:
-    """``shard_of`` edited until no move of one slot brings a heavy and the lightest shard nearer to each other."""
-    shard_of, load = list(shard_of), [0] * n_shards
+    """``shard_of`` edited until all shards differ by less than the lightest slot, or until neither moving one slot of a heavy shard nor
+    exchanging it for a lighter one brings that shard and the lightest one nearer to each other."""
+    before, shard_of, load = shard_of, list(shard_of), [0] * n_shards
+    lightest = min((w for w in weight if w), default=0)
     held: list[list[int]] = [[] for _ in range(n_shards)]
     for slot, shard in enumerate(shard_of):
         load[shard] += weight[slot]
@@ -40,18 +56,23 @@ def rebalanced(shard_of: list[int], weight: list[int], n_shards: int) -> list[in
         low = min(range(n_shards), key=lambda s: (load[s], s))
         gap = load[shard] - load[low]
         fits = [s for s in held[shard] if weight[s] < gap]
-        if not fits:
-            settled.add(shard)  # only rising floors lie ahead: a gap to the lightest shard never widens for it
+        given, back = (min(fits, key=lambda s: (abs(gap - 2 * weight[s]), s)), None) if fits else (None, None)
+        if given is None and gap >= lightest:
+            given, back = _exchange(held[shard], held[low], weight, gap)
+        if given is None:
+            settled.add(shard)  # a gap to the lightest shard never widens for it; other partners get their turn in the next pass
             continue
-        slot = min(fits, key=lambda s: (abs(gap - 2 * weight[s]), s))
-        held[shard].remove(slot)
-        held[low].append(slot)
-        shard_of[slot] = low
-        for s, d in ((shard, -weight[slot]), (low, weight[slot])):
+        for slot, source, target in ((given, shard, low), (back, low, shard)):
+            if slot is not None:
+                held[source].remove(slot)
+                held[target].append(slot)
+                shard_of[slot] = target
+        change = weight[given] - (0 if back is None else weight[back])
+        for s, d in ((shard, -change), (low, change)):
             load[s] += d
             settled.discard(s)
             heapq.heappush(heavy, (-load[s], s))
-    return shard_of
+    return shard_of if shard_of == list(before) else rebalanced(shard_of, weight, n_shards)
 
 
 def grown(shard_of: list[int], weight: list[int], n_shards: int) -> list[int]:
@@ -123,9 +144,9 @@ def store_map(spark: SparkSession, store: str, shard_of: list[int]) -> None:
 def shard_by_bytes(df: DataFrame, n_shards: int = 40, key: str = "doc_id", text: str = "text", n_slots: int = SLOTS, store: str | None = None) -> DataFrame:
     """All rows of ``df`` with size, text_crc32, law ('bytes'), shard, slot, grown_shard and virtual_slot.
 
-    The size of a row is the UTF-8 bytes of its text (null: none) plus 16; shards differ in bytes by less than the smallest slot that
-    could still move. A ``df`` with size and text_crc32 of its own needs no text. ``slot`` numbers the rows of each shard from 0 without a
-    gap, by virtual slot, key and checksum. ``grown_shard`` is null: growing a map balanced by bytes is an edit of its own (``grown``).
+    The size of a row is the UTF-8 bytes of its text (null: none) plus 16; shards differ in bytes by less than the lightest slot
+    wherever moves and exchanges of slots can bring that about. A ``df`` with size and text_crc32 of its own needs no text. ``slot``
+    numbers the rows of each shard from 0 without a gap, by virtual slot, key and checksum. ``grown_shard`` is null: growing a map balanced by bytes is an edit of its own (``grown``).
     Empty tables give no rows; repeated rows each get a slot, and any number of them leaves the shards level; columns of the same names
     are replaced. ``store``: the folder of the map's versions. Its newest one is rebalanced and the outcome added, if it differs; a folder
     without versions gets version 1 first. A map for more shards than ``n_shards`` is an error.
