@@ -22,9 +22,9 @@ def main(argv: list[str] | None = None) -> None:
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("genospark").getOrCreate()
     ship(spark)
-    reads = readers.read_fastq(spark, args.input)
+    reads = readers.read_fastq(spark, args.input, number=True)
     # mates may share a name, which correction takes for one read
-    reads = correct.checked(reads.withColumn("name", F.concat_ws("\x01", "name", F.monotonically_increasing_id().cast("string"))))
+    reads = correct.checked(reads.withColumn("name", F.concat_ws("\x01", "name", F.col("id").cast("string"))).drop("id"))
     out = correct.correct(reads, correct.train(reads, args.k))
     out = out.withColumn("name", F.substring_index("name", "\x01", 1))
     if args.command == "assemble":

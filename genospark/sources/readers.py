@@ -1,5 +1,5 @@
 """Readers of the common file formats. Text formats go through Spark's own reader, so they split, decompress and work on any store;
-FASTQ and BAM have no record separator, so a file is one task's work and large data should come as many files."""
+BAM has no record separator, so a file is one task's work and large data should come as many files."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from genospark.functions import cigar as C
@@ -31,24 +31,34 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select(name.alias("name"), F.trim(F.regexp_replace("h", r"^\S*", "")).alias("comment"), "seq", F.lit(None).cast("string").alias("qual"), F.lit("*").alias("strand"))
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """name, comment, seq, qual, strand ('*') of four-line records, in files that may be gzip-compressed."""
+def read_fastq(spark: SparkSession, path: str, number: bool = False) -> DataFrame:
+    """name, comment, seq, qual, strand ('*') of four-line records, split like any text, in files that may be compressed (by extension).
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for data in batch["content"]:
-                text = (gzip.decompress(data) if data[:2] == b"\x1f\x8b" else bytes(data)).decode("utf-8")
-                lines = text.replace("\r", "").split("\n")
-                rows = []
-                for at in range(0, len(lines) - 3, 4):
-                    name, _, comment = lines[at][1:].partition(" ")
-                    rows.append((name, comment, lines[at + 1], lines[at + 3], "*"))
-                    if len(rows) >= 50_000:
-                        yield pd.DataFrame(rows, columns=["name", "comment", "seq", "qual", "strand"])
-                        rows = []
-                yield pd.DataFrame(rows, columns=["name", "comment", "seq", "qual", "strand"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, "name string, comment string, seq string, qual string, strand string")
+    Files are cut before each line that begins with '@'. Four lines are a record. Where a quality line begins with '@', its record comes as
+    a head of three lines and a tail of one: only these are shuffled, ordered within their split, and paired; a head that ends a split meets
+    the tail that begins the file's next one. The text is scanned once for whole records and once for such pairs. A record cut short at
+    the end of a file goes; names do not begin with '@'. ``number``: also ``id``, another for each record and the same in every scan of the
+    same splits, however the shuffle deals rows out.
+    """
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")]
+    pieces = spark.read.option("lineSep", "\n@").text(path).select(F.split(F.regexp_replace("value", "\r", ""), "\n").alias("p"), *place)
+    get = lambda k: F.get("p", F.lit(k))
+    whole = pieces.where(F.size("p") >= 4).select("at", get(0).alias("head"), get(1).alias("seq"), get(3).alias("qual"))
+
+    is_head = F.size("p") == 3
+    parts = pieces.where((F.size("p") <= 2) | (is_head & get(2).startswith("+")))
+    in_split = Window.partitionBy("file", "block").orderBy("at")
+    met = parts.select("*", is_head.alias("is_head"), F.lead(get(0)).over(in_split).alias("tail"), F.lag("at").over(in_split).isNull().alias("first"))
+    # at most one tail and one head of each split are left over; all else keeps a window of its own
+    border = F.when(F.col("is_head") & F.col("tail").isNull() | ~F.col("is_head") & F.col("first"), F.lit(-1)).otherwise(F.col("at"))
+    met = met.where(F.col("is_head") | F.col("first")).withColumn("border", border)
+    over = Window.partitionBy("file", "border").orderBy("block", "at")
+    met = met.select("p", "at", "is_head", F.coalesce("tail", F.lead(F.when(~F.col("is_head"), get(0))).over(over)).alias("tail"))
+    paired = met.where("is_head and tail is not null").select("at", get(0).alias("head"), get(1).alias("seq"), F.concat(F.lit("@"), "tail").alias("qual"))
+
+    name = F.substring_index("h", " ", 1)
+    records = whole.unionByName(paired).select(F.regexp_replace("head", "^@", "").alias("h"), "seq", "qual", F.col("at").alias("id"))
+    return records.select(name.alias("name"), F.expr("substring(h, length(substring_index(h, ' ', 1)) + 2)").alias("comment"), "seq", "qual", F.lit("*").alias("strand"), *(["id"] if number else []))
 
 
 def _numbered(df: DataFrame) -> DataFrame:

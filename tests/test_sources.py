@@ -1,4 +1,5 @@
 import gzip
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,6 +63,36 @@ def test_fasta_fastq(spark, tmp_path):
     assert [(r["name"], r["comment"], r["seq"], r["qual"]) for r in got] == [("q1", "note", "ACGT", "@III"), ("q2", "", "TT", "II")]
 
 
+def test_fastq_in_splits(spark, tmp_path):
+    rng = random.Random(5)
+    records = {}
+    for file in ("a.fq", "b.fq", "c.fq.gz"):
+        lines = []
+        for i in range(1500):
+            n = rng.choice([0, 1, 2, 30, 200])
+            seq, qual = "".join(rng.choices("ACGT", k=n)), "".join(rng.choices("@@@+I!", k=n))
+            name, comment = f"{file}:{i}", rng.choice(["", "1:N:0 x", "@ +"])
+            records[name] = (comment, seq, qual)
+            lines += [f"@{name} {comment}" if comment else f"@{name}", seq, rng.choice(["+", "+" + name]), qual]
+        end = "\r\n" if file == "b.fq" else "\n"
+        with (gzip.open if file.endswith("gz") else open)(tmp_path / file, "wt", newline="") as out:
+            out.write(end.join(lines) + (end if file != "c.fq.gz" else ""))
+    (tmp_path / "d.fq").write_text("@d1\nAC\n+\n@@\n@d2\nAC\n+")  # the last record is cut short
+    (tmp_path / "e.fq").write_text("")
+    records["d1"] = ("", "AC", "@@")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("1000", "40000", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = readers.read_fastq(spark, str(tmp_path)).collect()
+            assert len(got) == len(records) and {r["name"]: (r["comment"], r["seq"], r["qual"]) for r in got} == records
+            ids = {r["name"]: r["id"] for r in readers.read_fastq(spark, str(tmp_path), number=True).collect()}
+            again = readers.read_fastq(spark, str(tmp_path), number=True).repartition(3, "seq")
+            assert len(set(ids.values())) == len(records) and {r["name"]: r["id"] for r in again.collect()} == ids
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_bed_vcf(spark, names, tmp_path):
     (tmp_path / "a.bed").write_text("track x\nchr1\t5\t10\t0.5\n1\t7 9\n#2\t1\t2\n2\t8\tx\nnone\t1\t2\n2\t9\t3\n2\t1\t4")
     assert sorted((r["chr"], r["pos1"], r["pos2"]) for r in readers.read_bed(spark, str(tmp_path / "a.bed"), names).collect()) == [(0, 5, 10), (0, 7, 9), (1, 1, 4)]
