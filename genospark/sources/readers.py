@@ -1,5 +1,5 @@
 """Readers of the common file formats. Text formats go through Spark's own reader, so they split, decompress and work on any store;
-BAM has no record separator, so a file is one task's work and large data should come as many files."""
+so does BAM, cut at its compressed blocks."""
 
 from __future__ import annotations
 
@@ -17,6 +17,7 @@ from genospark.functions import cigar as C
 from genospark.functions import region as R
 from genospark.operators import dictionary as D
 from genospark.schema import READ, REGION
+from genospark.sources import bam_splits
 
 _INTEGERS = "c C s S i I".split()
 
@@ -207,7 +208,11 @@ def _bam_tags(data: bytes, at: int, end: int) -> dict[str, dict[str, str]]:
 
 def bam_rows(data: bytes) -> Iterator[tuple]:
     """READ tuples of uncompressed BAM bytes."""
-    _, _, at = bam_dictionary(data)
+    yield from bam_records(data, bam_dictionary(data)[2])
+
+
+def bam_records(data: bytes, at: int) -> Iterator[tuple]:
+    """READ tuples of the records that begin at ``at``."""
     while at < len(data):
         (size,) = struct.unpack_from("<i", data, at)
         tid, pos, l_name, mapq, _, n_cigar, flag, l_seq, mtid, mpos, isize = struct.unpack_from("<iiBBHHHiiii", data, at + 4)
@@ -227,8 +232,10 @@ def bam_rows(data: bytes) -> Iterator[tuple]:
         at += 4 + size
 
 
-def read_bam(spark: SparkSession, path: str) -> DataFrame:
-    """READ rows of BAM files. Blocks are decompressed and parsed in the task that holds the file."""
+def read_bam(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """READ rows of BAM files, which are split like text. ``whole_files``: one task a file of at most 2 GB, for files that hold no blocks."""
+    if not whole_files:
+        return bam_splits.read_splits(spark, path, READ, bam_dictionary, bam_records)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -237,7 +244,7 @@ def read_bam(spark: SparkSession, path: str) -> DataFrame:
                 for row in bam_rows(gzip.decompress(content)):
                     rows.append(row)
                     if len(rows) >= 20_000:
-                        yield pd.DataFrame(rows, columns=READ.names)
+                        yield pd.DataFrame(rows, columns=READ.names).astype({"nm": "Int32"})
                         rows = []
                 yield pd.DataFrame(rows, columns=READ.names).astype({"nm": "Int32"})
 
