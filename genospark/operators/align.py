@@ -1,8 +1,9 @@
 """Seed-and-extend alignment of sequences to a small set of references.
 
 The index is a table of k-mers with their places; its size is checked before it is sent to the workers. A query's seeds at all their
-places make exact matches, each of which is extended to both sides with affine gaps within the bandwidth unless too few seeds are in reach
-for a hit; hits are ranked and filtered as primary and secondary.
+places make exact matches, each of which is extended to both sides with affine gaps within the bandwidth, until z-drop, unless too few seeds
+are in reach for a hit, and drawn out to the query's ends where that costs less than clipping; as every seed is looked up at all its places,
+``reseed`` has nothing to add. Hits are ranked and filtered as primary and secondary.
 """
 
 from __future__ import annotations
@@ -52,16 +53,17 @@ def reverse_complement(seq: str) -> str:
     return seq.translate(_COMPLEMENT)[::-1]
 
 
-def local_alignment(query: str, target: str, s: Scoring) -> tuple[int, int, int, int, str]:
-    """Best affine-gap local alignment: score, query start, target start, target end, CIGAR of the aligned part."""
+def local_alignment(query: str, target: str, s: Scoring, whole: bool = False) -> tuple[int, int, int, int, str]:
+    """Best affine-gap local alignment: score, query start, target start, target end, CIGAR of the aligned part. ``whole``: both from end to end."""
     n, m = len(query), len(target)
     low = -(10**9)
-    h, e = [0] * (m + 1), [low] * (m + 1)
+    edge = lambda k: -s.gap_open - s.gap_extend * k if whole and k else 0
+    h, e = [edge(j) for j in range(m + 1)], [low] * (m + 1)
     back: list[bytearray] = []
     best, at = 0, (0, 0)
     for i in range(1, n + 1):
-        row, diagonal, f = bytearray(m + 1), 0, low
-        q = query[i - 1]
+        row, diagonal, f = bytearray(m + 1), h[0], low
+        h[0], q = edge(i), query[i - 1]
         for j in range(1, m + 1):
             up = max(h[j] - s.gap_open - s.gap_extend, e[j] - s.gap_extend)
             from_e = e[j] - s.gap_extend > h[j] - s.gap_open - s.gap_extend
@@ -71,12 +73,14 @@ def local_alignment(query: str, target: str, s: Scoring) -> tuple[int, int, int,
             f = left
             good = diagonal + (s.match if q == target[j - 1] and q != "N" else -s.mismatch)
             diagonal = h[j]
-            value = max(0, good, up, left)
-            row[j] = (0 if value == 0 else 1 if value == good else 2 if value == up else 3) | (4 if from_e else 0) | (8 if from_f else 0)
+            value = max(good, up, left) if whole else max(0, good, up, left)
+            row[j] = (0 if value == 0 and not whole else 1 if value == good else 2 if value == up else 3) | (4 if from_e else 0) | (8 if from_f else 0)
             h[j] = value
             if value > best:
                 best, at = value, (i, j)
         back.append(row)
+    if whole:
+        best, at = h[m], (n, m)
     i, j = at
     ops: list[str] = []
     state = 1
@@ -99,6 +103,9 @@ def local_alignment(query: str, target: str, s: Scoring) -> tuple[int, int, int,
             ops.append("D")
             state = 3 if move & 8 else 1
             j -= 1
+    if whole:
+        ops += ["I"] * i + ["D"] * j
+        i = j = 0
     text, run = "", 0
     ops.reverse()
     for k, op in enumerate(ops):
@@ -109,14 +116,19 @@ def local_alignment(query: str, target: str, s: Scoring) -> tuple[int, int, int,
     return best, i, j, at[1], text
 
 
-def extended(query: str, target: str, s: Scoring) -> tuple[int, int, int, bool]:
-    """Best affine-gap alignment from the start of both: score, query bases, target bases, whether it has gaps. The end is free; paths stay
-    within the bandwidth of the first diagonal."""
+def extended(query: str, target: str, s: Scoring, clip: int = 0) -> tuple[int, int, int, bool, bool]:
+    """Best affine-gap alignment from the start of both: score, query bases, target bases, whether it has gaps, whether it was drawn out.
+
+    The end is free; paths stay within the bandwidth of the first diagonal, and none is followed once a row's best lies more than z-drop
+    below the best so far, gaps between the two not counted. Where the whole query scores more than the best less ``clip``, the
+    alignment is drawn out to the query's end; the score stays the best one.
+    """
     low, n, m = -(10**9), len(query), min(len(target), len(query) + s.bandwidth)
     first = s.gap_open + s.gap_extend
     h = [0] + [-s.gap_open - s.gap_extend * j if j <= s.bandwidth else low for j in range(1, m + 1)]
     e = [low] * (m + 1)
     best, at = 0, (0, 0)
+    end, end_at = (0, 0) if n == 0 else (low, 0)
     for i in range(1, n + 1):
         left, right = max(1, i - s.bandwidth), min(m, i + s.bandwidth)
         if left > right:
@@ -124,17 +136,25 @@ def extended(query: str, target: str, s: Scoring) -> tuple[int, int, int, bool]:
         diagonal = h[left - 1]
         h[left - 1] = -s.gap_open - s.gap_extend * i if left == 1 and i <= s.bandwidth else low
         f, q = low, query[i - 1]
+        most, most_at = h[left - 1], left - 1
         for j in range(left, right + 1):
             up = e[j] = max(h[j] - first, e[j] - s.gap_extend)
             f = max(h[j - 1] - first, f - s.gap_extend)
             value = max(diagonal + (s.match if q == target[j - 1] and q != "N" else -s.mismatch), up, f)
             diagonal, h[j] = h[j], value
-            if value > best:
-                best, at = value, (i, j)
+            if value > most:
+                most, most_at = value, j
+        if i == n:
+            end, end_at = most, most_at
+        if most > best:
+            best, at = most, (i, most_at)
+        elif best - most - s.gap_extend * abs((i - at[0]) - (most_at - at[1])) > s.zdrop > 0:
+            break
+    drawn = at[0] < n and end > best - clip
+    (i, j), chosen = ((n, end_at), end) if drawn else (at, best)
     # the same ends without a gap, if that is as good
-    i, j = at
-    plain = i == j and best == sum(s.match if a == b and a != "N" else -s.mismatch for a, b in zip(query[:i], target[:i]))
-    return best, i, j, not plain
+    plain = i == j and chosen == sum(s.match if a == b and a != "N" else -s.mismatch for a, b in zip(query[:i], target[:i]))
+    return best, i, j, not plain, drawn
 
 
 class Index:
@@ -195,15 +215,18 @@ class Index:
         found: dict[tuple, tuple] = {}
         s = self.scoring
         for reverse, seq in ((False, query.upper()), (True, reverse_complement(query.upper()))):
+            before_clip, after_clip = (s.clip3, s.clip5) if reverse else (s.clip5, s.clip3)
             for r, t0, q0, size in self.candidates(seq):
                 target = self.references[r][1]
-                before, qn, tn, gaps = extended(seq[:q0][::-1], target[max(0, t0 - q0 - s.bandwidth) : t0][::-1], s)
-                after, qm, tm, more = extended(seq[q0 + size :], target[t0 + size : t0 + len(seq) - q0 + s.bandwidth], s)
+                before, qn, tn, gaps, drawn = extended(seq[:q0][::-1], target[max(0, t0 - q0 - s.bandwidth) : t0][::-1], s, before_clip)
+                after, qm, tm, more, longer = extended(seq[q0 + size :], target[t0 + size : t0 + len(seq) - q0 + s.bandwidth], s, after_clip)
                 score, q0, t0, q1, t1 = before + s.match * size + after, q0 - qn, t0 - tn, q0 + size + qm, t0 + size + tm
                 if score < self._threshold(len(seq)) or (r, t0, reverse) in found and found[r, t0, reverse][0] >= score:
                     continue
                 cigar = f"{q1 - q0}M"
-                if gaps or more:
+                if (gaps or more) and (drawn or longer):
+                    cigar = local_alignment(seq[q0:q1], target[t0:t1], s, whole=True)[4]
+                elif gaps or more:
                     again, qa, ta, _, cigar = local_alignment(seq[q0:q1], target[t0:t1], s)
                     score, q0, t0 = again, q0 + qa, t0 + ta
                 used = sum(int(n) for n, o in _operations(cigar) if o in "MI")

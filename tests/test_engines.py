@@ -48,6 +48,41 @@ def test_alignment_of_repeats_and_long_gaps():
         assert [h[0] for h in align.Index([("r", genome)], align.Scoring()).align(query)[:1]] == [whole] * (whole >= 30)
 
 
+def test_clip_penalties_and_zdrop():
+    genome = bases(600, 5)
+    other = {"A": "C", "C": "G", "G": "T", "T": "A"}
+    query = genome[100:197] + other[genome[197]] + genome[198:200]  # a mismatch before the last two bases: 2 - 4 against a clip of 3
+    one = lambda s, q=query: align.Index([("r", genome)], s).align(q)[0]
+    assert one(align.Scoring())[:6] == (97, 0, 100, False, "100M", 1)
+    assert one(align.Scoring(clip3=0))[4:6] == ("97M3S", 0) and one(align.Scoring(clip5=0))[4] == "100M"
+    turned = align.reverse_complement(query)  # what was the end is now the beginning
+    assert one(align.Scoring(clip3=0), turned)[3:5] == (True, "100M") and one(align.Scoring(clip5=0), turned)[3:5] == (True, "97M3S")
+    assert one(align.Scoring(clip3=2))[4] == "97M3S" and one(align.Scoring(clip3=3))[4] == "100M"
+    # a gap near the end is drawn out too, and the score stays the local one
+    start = next(k for k in range(100, 200) if len({genome[k + 90], genome[k + 91]}) == 2 and genome[k + 89] != genome[k + 90])
+    gap = genome[start : start + 90] + genome[start + 91 : start + 96]
+    assert one(align.Scoring(), gap)[0] == 90 and one(align.Scoring(), gap)[4:6] == ("90M1D5M", 1) and one(align.Scoring(clip3=0), gap)[4] == "90M5S"
+    # 40 wrong bases lie between two good halves; with gaps out of the question, only a wide z-drop gets across
+    far = genome[100:160] + "".join(other[c] for c in genome[160:200]) + genome[200:400]
+    plain = lambda **k: align.Scoring(gap_open=1000, **k)
+    assert {h[4] for h in align.Index([("r", genome)], plain(clip3=0, clip5=0)).align(far)} == {"60M240S", "100S200M"}
+    assert {h[4] for h in align.Index([("r", genome)], plain(clip3=0, clip5=0, zdrop=200)).align(far)} == {"300M", "100S200M"}
+    assert one(plain(zdrop=200, clip5=200), far)[:5] == (200, 0, 100, False, "300M")
+    with_drop, without = (align.extended(far[60:], genome[160:], plain(zdrop=z)) for z in (100, 0))
+    assert with_drop[0] == 0 and without[:2] == (40, 240)
+    rng = random.Random(8)
+    for _ in range(20):
+        a, b = bases(rng.randrange(1, 12), rng.random()), bases(rng.randrange(1, 12), rng.random())
+        score, cigar = align.local_alignment(a, b, align.Scoring(), whole=True)[0::4]
+        parts = align._operations(cigar)
+        assert sum(int(n) for n, o in parts if o in "MI") == len(a) and sum(int(n) for n, o in parts if o in "MD") == len(b)
+        q = t = cost = 0
+        for n, o in ((int(n), o) for n, o in parts):
+            cost += sum(1 if x == y else -4 for x, y in zip(a[q : q + n], b[t : t + n])) if o == "M" else -6 - n
+            q, t = q + n * (o != "D"), t + n * (o != "I")
+        assert cost == score
+
+
 def test_correction_and_assembly(spark):
     genome = bases(600, 9)
     rows = [(f"r{i}", genome[i : i + 60]) for i in range(0, 540, 3)]
