@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from genospark.llm.components import components
 from genospark.llm.storage import Scratch
 
-TREES, LEAF, BLOCK = 8, 2000, 1024
+TREES, LEAF, BLOCK = 8, 1000, 1024  # LEAF counts vectors of one label, as only these are compared
 SAMPLE, SAMPLE_NUMBERS = 20_000, 4_000_000  # vectors, and numbers in them, that the trees are fitted to
 SPILL = 0.16  # of a node's standard deviation along the cut, to either side of it
 MARGIN = 1e-4  # under the threshold, for cosines in single precision
@@ -53,7 +53,7 @@ class Tree:
         return [sorted(o) for o in out]
 
 
-def fit(sample: np.ndarray, total: int, trees: int = TREES, leaf: int = LEAF, seed: int = 7, first: int = 0) -> list[Tree]:
+def fit(sample: np.ndarray, total: float, trees: int = TREES, leaf: int = LEAF, seed: int = 7, first: int = 0) -> list[Tree]:
     """Trees over unit vectors, cut until a leaf is expected to hold at most ``leaf`` of ``total`` vectors."""
     rng, out = np.random.default_rng(seed), []
     depth = max(0, int(np.ceil(np.log2(max(1, total) / leaf))) + 4)
@@ -94,14 +94,15 @@ def _unit(rows: pd.Series) -> np.ndarray:
 
 def _fitted(classes: DataFrame) -> tuple[dict[int, list[Tree]], int]:
     """Trees for each vector length, and the number of leaves."""
-    # lengths of few vectors are one leaf each and need no tree
-    sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count("*").alias("n")).where(F.col("n") > LEAF).orderBy("dim").collect()}
+    # a vector's peers are those of its label; lengths where it has few of them, on average, are one leaf each and need no tree
+    labels = classes.groupBy("dim", "label").agg(F.count("*").cast("double").alias("n"))
+    sizes = labels.groupBy("dim").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("peers"))
     forest, first = {}, 0
-    for dim, n in sizes.items():
+    for dim, n, peers in sizes.where(F.col("peers") > LEAF).orderBy("dim").collect():
         most = min(SAMPLE, max(1, SAMPLE_NUMBERS // dim))
         chance = F.pmod(F.xxhash64(F.lit("sample"), "rep"), F.lit(1_000_000)) < int(1e6 * min(1.0, most / n))
         sample = classes.where((F.col("dim") == dim) & chance).select("vec").limit(most).toPandas()["vec"]
-        trees = fit(_unit(sample) if len(sample) else np.ones((1, dim)), n, first=first)
+        trees = fit(_unit(sample) if len(sample) else np.ones((1, dim)), peers, first=first)
         first = trees[-1].first + trees[-1].leaves
         forest[dim] = trees
     return forest, first
