@@ -32,3 +32,38 @@ def test_bam_of_large_keys(spark, large_keys):
     folder, keys = large_keys
     assert QUERIES["bam_round_trip"](spark, folder).count() == len(keys)
     assert QUERIES["bam_header_dictionary"](spark, folder).count() == 24
+
+
+def test_share_subject_makes_no_pair_per_subject(spark):
+    """Three tables against brute force: wide, touching, nested and apart, ids with several intervals too."""
+    import random
+
+    from genospark.operators import intervals as I
+
+    rnd = random.Random(5)
+
+    def table(n: int, same: int) -> list[tuple]:
+        rows = []
+        for k in range(n):
+            start = rnd.randrange(3_000_000)
+            rows.append((k // same, rnd.randrange(2), start, start + rnd.choice([0, 30, 5_000, 60_000, 900_000]), "*"))
+        return rows
+
+    schema = "id long, chr int, pos1 int, pos2 int, strand string"
+    for same in (1, 2):
+        one, other, subjects = table(60, same), table(50, same), table(40, 1)
+        over = lambda x, y: x[1] == y[1] and x[2] <= y[3] and y[2] <= x[3]
+        wanted = {(a[0], b[0]) for a in one for b in other if any(over(a, s) and over(b, s) for s in subjects)}
+        found = I.share_subject(*[spark.createDataFrame(t, schema) for t in (one, other, subjects)])
+        assert sorted(map(tuple, found.collect())) == sorted(wanted)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "subject_id" not in plan  # subjects are no key of a join
+
+
+def test_narrow_intervals_are_listed_once(spark):
+    from genospark.operators import intervals as I
+
+    rows = spark.range(1000).selectExpr("id", "0 chr", "cast(id * 2048 as int) pos1", "cast(id * 2048 + 10 as int) pos2", "'*' strand")
+    sides = [I._prefixed(rows, mark, ("chr", "pos1", "pos2")) for mark in "qs"]
+    assert [side.count() for side in I._spread(*sides)] == [1000, 1000]
+    assert I.intersection(rows, rows).count() == 1000
