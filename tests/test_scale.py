@@ -67,3 +67,57 @@ def test_narrow_intervals_are_listed_once(spark):
     sides = [I._prefixed(rows, mark, ("chr", "pos1", "pos2")) for mark in "qs"]
     assert [side.count() for side in I._spread(*sides)] == [1000, 1000]
     assert I.intersection(rows, rows).count() == 1000
+
+
+def test_pieces_of_long_texts_take_linear_time(spark):
+    """Some 100,000 places of one long text, and letters of several bytes."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from genospark.operators import align
+
+    text = "ACGTTGCAAC" * 60_000
+    rows = spark.createDataFrame([("a", text), ("é", "AÉGTACGTACGTACGTA")], "name string, seq string")
+    began = time.time()
+    found = align.seed_index(rows)
+    assert found.agg(F.count("*"), F.sum(F.length("kmer"))).first()[0] == len(text) - 14 + 3
+    assert time.time() - began < 60
+    assert [r["kmer"] for r in found.where("name = 'é'").orderBy("at").collect()] == ["AÉGTACGTACGTACG", "ÉGTACGTACGTACGT", "GTACGTACGTACGTA"]
+
+
+def test_alignments_of_many_pairs_at_once():
+    import random
+    import time
+
+    from genospark.operators import align as A
+
+    rnd, s = random.Random(2), A.Scoring(match=2, mismatch=3, gap_open=2)
+    queries = ["".join(rnd.choice("ACGTN") for _ in range(rnd.choice([0, 7, 32]))) for _ in range(300)]
+    targets = [q[3:12] + rnd.choice(["", "A", "GG"]) + q[14:] for q in queries]
+    for q, t, found in zip(queries, targets, A.aligned_pairs(queries, targets, s)):
+        score, q0, t0, _, cigar = A.local_alignment(q, t, s)
+        tail = len(q) - q0 - sum(int(n) for n, o in A._operations(cigar) if o in "MI")
+        assert found == (score, t0, (f"{q0}S" if q0 else "") + cigar + (f"{tail}S" if tail else "") if cigar else "*", A._edits(q, q0, t, t0, cigar))
+    many = ["ACGTACGTACGTACGTACGTACGTACGTACGT"] * 20_000
+    began = time.time()
+    assert set(A.aligned_pairs(many, many, s)) == {(64, 0, "32M", 0)}
+    assert time.time() - began < 10  # one at a time: about 30 s
+
+
+def test_packed_unitigs_equal_texts():
+    import random
+    from unittest import mock
+
+    from genospark.operators import assemble as S
+
+    rnd = random.Random(4)
+    for k in (3, 5, 11):
+        genome = "".join(rnd.choice("ACGT") for _ in range(150))
+        reads = [genome[p : p + 30] for p in (rnd.randrange(120) for _ in range(60))] + [S.reverse_complement(genome)[:40], "ACNGT", "ac"]
+        options = S.Options(k=k, min_count=2)
+        with mock.patch.object(S, "_packed_unitigs", side_effect=S._packed_unitigs) as packed:
+            found = S.unitigs(reads, options)
+        assert packed.called
+        # one letter of another kind, in a read too short for a k-mer, takes the way of texts
+        assert found == S.unitigs([*reads, "R"], options)
