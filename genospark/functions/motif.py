@@ -7,6 +7,7 @@ import operator
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,6 +65,27 @@ def find(text: str, words: Sequence[str], ignore_case: bool = False, whole_words
     return sorted(hits, key=lambda h: (h[1], h[0]))
 
 
+def holds(text: str, words: Sequence[str], ignore_case: bool = False, whole_words: bool = False) -> bool:
+    """Whether ``find`` finds anything; stops at the first occurrence and keeps none."""
+    own = tuple(sorted({w for w in words if w}))
+    if not own:
+        return False
+    letter = lambda i: 0 <= i < len(text) and text[i].isalpha()
+    hits = _automaton(own, ignore_case).iter(text.lower() if ignore_case else text)
+    return any(not whole_words or not letter(end - len(w)) and not letter(end + 1) for end, w in hits)
+
+
+def holds_motif(text: Column, words: Sequence[str], ignore_case: bool = False, whole_words: bool = False) -> Column:
+    """Whether a text holds any of the words, as ``motif_hits`` finds them; false for null."""
+    own = tuple(words)
+
+    @F.arrow_udf("boolean")
+    def held(texts: pa.Array) -> pa.Array:
+        return pa.array([t.is_valid and holds(t.as_py(), own, ignore_case, whole_words) for t in texts], pa.bool_())  # one text at a time
+
+    return held(text)
+
+
 def tokens(text: str, words: Sequence[str], **options: bool) -> list[tuple[str, bool]]:
     """The text cut at its occurrences: (piece, whether it is one)."""
     out, at = [], 0

@@ -121,3 +121,27 @@ def test_packed_unitigs_equal_texts():
         assert packed.called
         # one letter of another kind, in a read too short for a k-mer, takes the way of texts
         assert found == S.unitigs([*reads, "R"], options)
+
+
+def test_mean_phred_from_bytes(spark):
+    from genospark.functions import sequence as S
+
+    rows = ["!!", "I", "", None, "#5I~", "é5"]
+    frame = spark.createDataFrame([(k, q) for k, q in enumerate(rows)], "id int, qual string").coalesce(1)
+    column = S.mean_phred()
+    wanted = [sum(ord(c) - 33 for c in q) / len(q) if q else 0.0 for q in rows]
+    assert [r["m"] for r in frame.select("id", column.alias("m")).orderBy("id").collect()] == wanted
+    assert [r["m"] for r in frame.where("id < 5").select("id", column.alias("m")).orderBy("id").collect()] == wanted[:5]
+    assert "transform" not in str(column)
+
+
+def test_words_are_found_without_a_list_of_hits(spark):
+    from pyspark.sql import functions as F
+
+    from genospark.functions import motif as M
+
+    texts = ["The end", "often", "thé of", "ofof", "x and", None, "", "ÀThe the", "İthe of"]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, text string")
+    for options in ({}, {"ignore_case": True}, {"whole_words": True}, {"ignore_case": True, "whole_words": True}):
+        found = frame.select(M.holds_motif(F.col("text"), ("and", "the", "of"), **options).alias("a"), (F.size(M.motif_hits(F.col("text"), ("and", "the", "of"), **options)) > 0).alias("b"))
+        assert all(r["a"] == r["b"] for r in found.collect())
