@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from genospark.plans.catalog import QUERIES
 from genospark.plans.fixtures import Fixtures
@@ -145,3 +146,62 @@ def test_words_are_found_without_a_list_of_hits(spark):
     for options in ({}, {"ignore_case": True}, {"whole_words": True}, {"ignore_case": True, "whole_words": True}):
         found = frame.select(M.holds_motif(F.col("text"), ("and", "the", "of"), **options).alias("a"), (F.size(M.motif_hits(F.col("text"), ("and", "the", "of"), **options)) > 0).alias("b"))
         assert all(r["a"] == r["b"] for r in found.collect())
+
+
+def test_correction_packs_kmers(spark):
+    """Against one read at a time in plain Python: copies, N, letters of other kinds, short and missing reads, words of k below and above 31."""
+    import random
+    from collections import Counter
+
+    from genospark.functions.sequence import reverse_complement
+    from genospark.operators import correct
+
+    rnd = random.Random(6)
+    genome = "".join(rnd.choice("ACGT") for _ in range(300))
+    texts = []
+    for n in range(240):
+        read = list(genome[(p := rnd.randrange(250)) : p + 50])
+        for _ in range(rnd.choice([0, 0, 1, 2])):
+            read[rnd.randrange(len(read))] = rnd.choice("ACGTNRé\n")
+        texts.append("".join(read).lower() if n % 9 == 0 else "".join(read))
+    texts += [texts[1]] * 5 + ["", None, "ACG", "GATTACA" * 9, "R" * 40, "R" * 40]
+    frame = spark.createDataFrame(list(enumerate(texts)), "name long, seq string").withColumn("qual", F.lit(None).cast("string"))
+    turned = {s: t for s, t in frame.select(F.upper("seq").alias("s"), reverse_complement(F.upper("seq"))).distinct().collect() if s}
+    for k in (1, 5, 11, 31, 33):
+        cut = lambda s, t: [min(s[a : a + k], t[len(s) - k - a : len(s) - a]) for a in range(len(s) - k + 1)]  # noqa: B023, E731
+        canonical = lambda s: cut(s, "".join({"A": "T", "C": "G", "G": "C", "T": "A", "N": "N"}.get(c, " ") for c in reversed(s)))  # noqa: B023, E731
+        upper = [(t or "").upper() for t in texts]
+        assert all(canonical(s) == cut(s, turned[s]) for s in upper if s)
+        counts = Counter(m for s in upper for m in canonical(s) if "N" not in m)
+        model = correct.train(correct.checked(frame), k, 2)
+        solid = {m for m, n in counts.items() if n >= model.min_cov}
+        assert model.solid.count() == len(solid)
+
+        def fixed(s):
+            ok, at = [m in solid for m in canonical(s)], {}
+            for a in range(len(ok)):
+                for side, place in ((a - 1, a + k - 1), (a + 1, a)):
+                    if not ok[a] and 0 <= side < len(ok) and ok[side]:
+                        new = [(b, s[a:place] + b + s[place + 1 : a + k]) for b in "ACGT" if b != s[place]]
+                        at.setdefault(place, set()).update(b for b, m in new if canonical(m)[0] in solid)
+            return "".join(next(iter(at[p])) if len(at.get(p, ())) == 1 else c for p, c in enumerate(s))
+
+        found = correct.correct(frame, model, 2)
+        assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()  # no read is sent for a few changes
+        assert [r["seq"] or "" for r in found.orderBy("name").collect()] == [fixed(fixed(s)) for s in upper]
+        left = {r["name"] for r in correct.unique_only(frame.withColumn("seq", F.upper("seq")), model).select("name").collect()}
+        assert left == {n for n, s in enumerate(upper) if all(m in solid for m in canonical(s))}
+
+
+def test_packed_kmers_of_long_sequences(spark):
+    from unittest import mock
+
+    from genospark.operators import kmers as K
+
+    text = "ACGTTGCAACNNGATTACAGATTTGC" * 40
+    with mock.patch.object(K, "CHUNK", 100):
+        pieces = [p for cut in K._cut([None, "AC", text, text[:200]], 7) for p in cut]
+        chunks = [K._packed_chunk(cut, 7) for cut in K._cut([None, "AC", text, text[:200]], 7)]
+    assert max(len(p[2]) for p in pieces) == 106
+    got = [(int(r), int(a), K._as_bytes(c[n : n + 1], 7)[0].as_py()) for c, rows, places, _ in chunks for n, (r, a) in enumerate(zip(rows, places))]
+    assert got == [(r, a, m) for r, t in ((2, text), (3, text[:200])) for a, m in K._spelled(t, 7)]
