@@ -228,3 +228,21 @@ def test_reads_over_regions_make_no_pairs(spark):
         assert key(I.overlapping_reads(a, b, anti=True).collect()) == key(r for r, o in zip(reads, own) if not o)
         assert key(I.overlapping_reads(a, b, mate_linked=True).collect()) == key(r for r, o, m in zip(reads, own, mate) if o or m)
     assert "cell" not in I.overlapping_reads(a, b)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_large_keys_equal_duckdb(spark, large_keys):
+    """Queries that overflowed, against their SQL with the product in 128 bits."""
+    import duckdb
+
+    from genospark.plans.catalog import ORACLES
+    from genospark.plans.fixtures import _PRODUCT
+
+    folder, _ = large_keys
+    root = folder.removeprefix("file://")
+    spark.range(300).selectExpr("id + 5900000 event_id", "id * 7 user_id", "element_at(array('view', 'click', 'error'), cast(id % 3 + 1 as int)) event_type").write.parquet(f"{folder}/events.parquet")
+    duck = duckdb.connect()
+    for name, files in (("lineitem", "lineitem.parquet/*.parquet"), ("events", "events.parquet/*.parquet"), ("nation", "nation.parquet")):
+        duck.execute(f"create view {name} as select * from '{root}/{files}'")
+    for name in ("bedgraph", "cigar_align_pos", "cigar_reversed", "count_contained", "depth_max", "depth_runs_inclusive", "distinct_region_scan", "filter_auto_includer"):
+        sql = ORACLES[name].replace(_PRODUCT, "cast((cast(h as hugeint) * 2654435761) & 4294967295 as bigint)")
+        assert sorted(map(tuple, QUERIES[name](spark, folder).collect())) == sorted(duck.execute(sql).fetchall()), name
